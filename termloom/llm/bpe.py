@@ -17,6 +17,7 @@ stay null; other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -28,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm.common import table
+from termloom.llm.common import small_batches, table
 
 #: entries of a memo; it starts anew when full, which changes no result
 MEMO = 600_000
@@ -83,19 +84,25 @@ class ForcedBoundaryBpe:
         self.token = {i: t.encode() + b" " for t, i in [*self.vocab.items(), *self.added.items()]}
         self.fragment = Memo(lambda f: self._merged(list(f)))
         self.last = Memo(lambda f: self._merged([*f[:-1], f[-1] + self.suffix]))
+        self.word = Memo(self._word)
         self.ids = Memo(self._chunk)
         self.text = Memo(lambda chunk: self._decoded(self.ids[chunk]))
 
     def _merged(self, parts: list[str]) -> bytes:
         """The ids of one fragment: always the leftmost pair of least rank is merged."""
-        rank = self.rank
+        rank, none = self.rank.get, 1 << 30
         if len(parts) > 48:
             parts = self._merged_long(parts)
-        while len(parts) > 1:
-            best, at = min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 30:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        elif len(parts) > 1:
+            ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+            while ranks and (best := min(ranks)) < none:
+                i = ranks.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank((parts[i], parts[i + 1]), none)
+                if i:
+                    ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
         return array("I", [self.vocab[p] for p in parts if p in self.vocab]).tobytes()
 
     def _merged_long(self, parts: list[str]) -> list[str]:
@@ -128,19 +135,22 @@ class ForcedBoundaryBpe:
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
         chunk = unicodedata.normalize("NFC", chunk)
         chunk = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
-        return ["".join([self.symbols[b] for b in w.encode()]) for w in self.pattern.findall(chunk)]
+        words = self.pattern.findall(chunk)
+        return words if chunk.isascii() and chunk.isprintable() else [w if w.isascii() and w.isprintable() else "".join([self.symbols[b] for b in w.encode()]) for w in words]
+
+    def _word(self, s: str) -> bytes:
+        """The ids of one word: its fragments are encoded independently."""
+        out, first = [], 0
+        for i, pair in enumerate(zip(s, s[1:]), 1):
+            if pair not in self.inside:
+                out.append(self.fragment[s[first:i]])
+                first = i
+        out.append(self.last[s[first:]])
+        return b"".join(out)
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a text without a space."""
-        out = []
-        for s in self._words(chunk):
-            first = 0
-            for i, pair in enumerate(zip(s, s[1:]), 1):
-                if pair not in self.inside:
-                    out.append(self.fragment[s[first:i]])
-                    first = i
-            out.append(self.last[s[first:]])
-        return b"".join(out)
+        return b"".join([self.word[s] for s in self._words(chunk)])
 
     def _decoded(self, ids: bytes) -> bytes:
         return b"".join([self.token[i] for i in array("I", ids)])
@@ -157,12 +167,18 @@ class ForcedBoundaryBpe:
         return joined, self._decoded(joined)[:-1]
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(path: str) -> ForcedBoundaryBpe:
+    """One encoder for each worker process; its memos live on from task to task."""
+    return ForcedBoundaryBpe(path)
+
+
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ForcedBoundaryBpe(path)
+        bpe = loaded(path)
         for batch in batches:
             out = []
             for text in batch.column(1):
@@ -178,7 +194,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, ids array<int>, decoded string) for each row."""
 
     def run(batches):
-        bpe = ForcedBoundaryBpe(path)
+        bpe = loaded(path)
         for batch in batches:
             got = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(array("I", i)) for i, _ in got], pa.list_(pa.int32())), pa.array([b.decode() for _, b in got], pa.string())], ["doc_id", "ids", "decoded"])
@@ -193,5 +209,6 @@ def tokenizer_path(name: str) -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(_digests(tokenizer_path("word_bpe_49k.json")), DIGEST)

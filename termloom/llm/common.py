@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -46,3 +47,23 @@ def parts_for(n_bytes: int, each: int, least: int = 8) -> int:
 
 def id_column(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
+
+
+#: rows that Arrow hands to Python at once: with texts of 100 kB a batch stays near 50 MB
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory that a batch of long texts takes, by the session's setting for rows in a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; workers live on from task to task."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

@@ -8,9 +8,7 @@ best-fit.  A plan is a list of patterns with multiplicities.  Then each piece
 gets its rank among those of its length and reads its place off the plan.
 
 Documents over ``SIZE`` tokens are cut into ``SIZE``-token pieces, the first of
-which may be shorter.  Ids are those of the tokenizers library; as no token of this
-vocabulary crosses a space that a non-space follows, texts are cut there and each
-chunk is encoded once per task.
+which may be shorter.
 
 Results for odd input: null and empty texts hold the end token alone; repeated
 rows are packed each; null ids stay null; an empty table gives no rows; other
@@ -19,6 +17,7 @@ columns are left out.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from array import array
@@ -27,46 +26,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from termloom.llm.bpe import SETTLED, Memo, tokenizer_path
-from termloom.llm.common import table, written
+from termloom.llm.bpe import SETTLED, byte_symbols, tokenizer_path
+from termloom.llm.common import small_batches, table, written
 
 SIZE, END, SALTS = 1024, 2, 32
 _END = array("I", [END]).tobytes()
 #: the split of byte-level BPE
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: a space that does not begin a token
-OPEN_SPACE = re.compile(r" (?=\s|\Z)|[\x1c-\x1f\x85]")
+#: control characters that libraries class differently, and long runs of white space
+ODD = re.compile(r"[\x1c-\x1f\x85]|\s{256}")
+LONG = 4096
 
 
-class ChunkEncoder:
+class Encoder:
+    """The ids of byte-level BPE as the tokenizers library gives them.
+
+    Ordinary texts go through the faster library, with the same vocabulary as
+    ranks and the same split; texts with added tokens, with characters whose
+    class differs between versions of Unicode, or with very long runs of one kind
+    go through the tokenizers library itself.
+    """
+
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.inner = Memo(lambda chunk: self._ids(" " + chunk))
-        self.whole = Memo(self._ids)
-        self.split = regex.compile(PRETOKEN)
+        byte = {c: i for i, c in enumerate(byte_symbols())}
+        ranks = {bytes([byte[c] for c in t]): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
 
-    def _ids(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        if (text.isascii() or max(text) < SETTLED) and not ODD.search(text) and max(map(len, text.split(" "))) < LONG and not any(s in text for s in self.special):
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._ids(text)
-        if OPEN_SPACE.search(text):
-            if not text.isascii() and max(text) >= SETTLED:
-                return self._ids(text)
-            return b"".join(map(self.whole.__getitem__, self.split.findall(text)))
-        first, *chunks = text.split(" ")
-        return (self.whole[first] if first else b"") + b"".join(map(self.inner.__getitem__, chunks))
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,11 +79,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _cut(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + _END
+                ids = encode(text.as_py() or "") + _END
                 n = len(ids) // 4
                 first = (n - 1) % SIZE + 1
                 edges = [0, *range(first, n + 1, SIZE)]
@@ -205,6 +210,7 @@ def pack(pieces: DataFrame, order: list[str], size: int = SIZE) -> DataFrame:
 
 def packed_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = written(rows.mapInArrow(_cut(path), PIECES), "pieces")
     return pack(pieces, ["doc_id", "piece", "ids_crc32"])
