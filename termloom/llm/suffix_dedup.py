@@ -36,16 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.bytescan import BYTE_CODE, U, flat, mix
-from termloom.llm.common import NULL_ID, id_column, parts_for, table, total_bytes
+from termloom.llm.common import NULL_ID, id_column, parts_for, small_batches, table, total_bytes, trim
 
 WINDOW, GRAM = 100, 32
 LEFT = WINDOW - GRAM
 WIDTH = WINDOW + LEFT
 BLOCK = 1 << 19
 #: anchors that a task holds before it sends them on
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: stands for what lies outside a text; never a byte of UTF-8
 OUTSIDE = 0xFF
+#: anchors have the least hashes of their windows, so they are hashed again before they are dealt out
+AGAIN = U(0x5851F42D4C957F2D)
 _B = 0x9E3779B97F4A7C15 | 1
 
 
@@ -77,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         taken[(v[np.cumsum(cut[:n]) == 0] & U(0xFFFFFF)).astype(np.int64)] = True
         at = np.flatnonzero(taken)
         places.append(at + b)
-        hashes.append(h[at])
+        hashes.append(mix(h[at] ^ AGAIN))
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, U)
     places, first = np.unique(np.concatenate(places), return_index=True)
@@ -89,11 +91,25 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> U(32)) * U(n)) >> U(32)).astype(np.int64)
 
 
-def _blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
-    """A tuple for each bucket of rows that are sorted by bucket."""
-    edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-    for s, e in zip(edge[:-1], edge[1:]):
-        yield (int(bucket[s]), *(c[s:e].tobytes() for c in columns))
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, compressed: their high bytes hardly cost anything."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = pa.decompress(blob[8:], n * size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def _gaps(h: np.ndarray) -> np.ndarray:
+    """Rising values as their differences; cumsum gives them back."""
+    out = h.copy()
+    out[1:] -= h[:-1]
+    return out
 
 
 ANCHOR_ROWS = "bucket long, hashes binary, docs binary, places binary"
@@ -115,9 +131,12 @@ def _send_anchors(n_buckets: int):
             many |= ~first
             known_d, known_p = d[many], p[many]
             p = np.where(many, np.int32(-1), p)[first]
-            rows = list(_blobs(_bucket(h[first], n_buckets), [h[first], d[first], p]))
+            h, d = h[first], d[first]
+            bucket = _bucket(h, n_buckets)
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            rows = [(int(bucket[s]), squeezed(_gaps(h[s:e])), squeezed(d[s:e]), squeezed(p[s:e])) for s, e in zip(edge[:-1], edge[1:])]
             for k, s in enumerate(range(0, len(known_d), 1 << 16)):
-                rows.append((int(known_p[s] + known_d[s] + k) % n_buckets, b"", known_d[s : s + (1 << 16)].tobytes(), known_p[s : s + (1 << 16)].tobytes()))
+                rows.append((int(known_p[s] + known_d[s] + k) % n_buckets, b"", squeezed(known_d[s : s + (1 << 16)]), squeezed(known_p[s : s + (1 << 16)])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "hashes", "docs", "places"])
 
         n = 0
@@ -134,6 +153,7 @@ def _send_anchors(n_buckets: int):
                     n = 0
         if held:
             yield from flush()
+        trim()
 
     return run
 
@@ -147,9 +167,28 @@ def _by_doc(docs: np.ndarray, values: list[np.ndarray], names: list[str]) -> pa.
     return pa.table([pa.array(docs[first], pa.int64()), *(pa.ListArray.from_arrays(offsets, pa.array(v[order].astype(np.int32))) for v in values)], names=["doc", *names])
 
 
-def _find_repeated(t: pa.Table) -> pa.Table:
-    read = lambda name, kind: [np.frombuffer(x, kind) for x in t[name].to_pylist()]
-    hashes, docs, places = read("hashes", U), read("docs", np.int64), read("places", np.int32)
+def _to_docs(docs: np.ndarray, values: list[np.ndarray], names: list[str], n_targets: int) -> pa.Table:
+    """What was found, in a row for each range of documents that it goes to."""
+    target = _bucket(mix(docs.view(U)), n_targets)
+    order = np.argsort(target, kind="stable")
+    target = target[order]
+    edge = np.flatnonzero(np.diff(target, prepend=-1, append=-1))
+    columns = [docs[order], *(v[order].astype(np.int32) for v in values)]
+    rows = [(int(target[s]), *(squeezed(c[s:e]) for c in columns)) for s, e in zip(edge[:-1], edge[1:])]
+    return pa.table([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(len(columns) + 1)], names=["target", "docs", *names])
+
+
+def _gather(t: pa.Table) -> pa.Table:
+    """A row for each document of one range, with all that was found in it."""
+    names = t.column_names[2:]
+    docs = np.concatenate([unsqueezed(x, np.int64) for x in t["docs"].to_pylist()])
+    return _by_doc(docs, [np.concatenate([unsqueezed(x, np.int32) for x in t[c].to_pylist()]) for c in names], names)
+
+
+def _find_repeated(t: pa.Table, n_targets: int) -> pa.Table:
+    hashes = [np.cumsum(unsqueezed(x, U), dtype=U) if x else np.zeros(0, U) for x in t["hashes"].to_pylist()]
+    docs = [unsqueezed(x, np.int64) for x in t["docs"].to_pylist()]
+    places = [unsqueezed(x, np.int32) for x in t["places"].to_pylist()]
     known = [i for i, h in enumerate(hashes) if not len(h)]
     fresh = [i for i, h in enumerate(hashes) if len(h)]
     d, p = [docs[i] for i in known], [places[i] for i in known]
@@ -163,7 +202,7 @@ def _find_repeated(t: pa.Table) -> pa.Table:
         many[:-1] |= same
         many &= hp >= 0
         d, p = [*d, hd[many]], [*p, hp[many]]
-    return _by_doc(np.concatenate(d), [np.concatenate(p)], ["places"])
+    return _to_docs(np.concatenate(d), [np.concatenate(p)], ["places"], n_targets)
 
 
 RUN_ROWS = "bucket long, shared binary, rest binary, docs binary, places binary"
@@ -187,9 +226,9 @@ def _send_runs(n_buckets: int):
             held.clear()
             bucket = _bucket(h, n_buckets)
             raw = key.tobytes()
-            text = [raw[i : i + WIDTH] for i in range(0, len(raw), WIDTH)]
-            whole = list(zip(bucket.tolist(), text, d.tolist(), p.tolist()))
+            whole = list(zip(bucket.tolist(), [raw[i : i + WIDTH] for i in range(0, len(raw), WIDTH)], d.tolist(), p.tolist()))
             order = np.array(sorted(range(len(whole)), key=whole.__getitem__), np.int64)
+            del raw, whole
             key, d, p, bucket = key[order], d[order], p[order], bucket[order]
             differs = key[1:] != key[:-1]
             shared = np.zeros(len(key), np.int64)
@@ -202,14 +241,15 @@ def _send_runs(n_buckets: int):
             rows = []
             for s in range(0, int(gone.sum()), 1 << 16):
                 x = np.flatnonzero(gone)[s : s + (1 << 16)]
-                rows.append((int(abs(int(d[x[0]])) + int(p[x[0]])) % n_buckets, b"", np.stack([p[x] - own_l[x], p[x] + own_r[x]]).astype(np.int32).tobytes(), d[x].tobytes(), b""))
+                span = np.concatenate([p[x] - own_l[x], p[x] + own_r[x]]).astype(np.int32)
+                rows.append(((abs(int(d[x[0]])) + int(p[x[0]])) % n_buckets, b"", b"", squeezed(d[x]), squeezed(span)))
             keep = ~copy
             key, d, p, bucket, shared = key[keep], d[keep], p[keep], bucket[keep], shared[keep]
             edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for s, e in zip(edge[:-1], edge[1:]):
                 k = shared[s:e].astype(np.uint8)
                 rest = key[s:e][np.arange(WIDTH) >= k[:, None]]
-                rows.append((int(bucket[s]), k.tobytes(), rest.tobytes(), d[s:e].tobytes(), p[s:e].tobytes()))
+                rows.append((int(bucket[s]), squeezed(k), squeezed(rest), squeezed(d[s:e]), squeezed(p[s:e])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "shared", "rest", "docs", "places"])
 
         n = 0
@@ -220,8 +260,8 @@ def _send_runs(n_buckets: int):
             sizes = np.diff(lists.offsets.to_numpy())
             at_all = lists.flatten().to_numpy()
             row_all = np.repeat(np.arange(len(docs)), sizes)
-            for s in range(0, len(at_all), 1 << 16):
-                at, row = at_all[s : s + (1 << 16)].astype(np.int64), row_all[s : s + (1 << 16)]
+            for s in range(0, len(at_all), 1 << 13):
+                at, row = at_all[s : s + (1 << 13)].astype(np.int64), row_all[s : s + (1 << 13)]
                 fits = at + GRAM <= (offsets[row + 1] - offsets[row])
                 at, row = at[fits], row[fits]
                 if not len(at):
@@ -230,13 +270,14 @@ def _send_runs(n_buckets: int):
                 h = np.zeros(len(key), U)
                 for i in range(GRAM):
                     h = h * U(_B) + BYTE_CODE[key[:, i]]
-                held.append((key, docs[row], at.astype(np.int32), mix(h)))
+                held.append((key, docs[row], at.astype(np.int32), mix(mix(h) ^ AGAIN)))
                 n += len(at)
-                if n >= FLUSH // 4:
+                if n >= FLUSH // 8:
                     yield from flush()
                     n = 0
         if held:
             yield from flush()
+        trim()
 
     return run
 
@@ -336,14 +377,14 @@ def covered(key: np.ndarray, docs: np.ndarray, places: np.ndarray, shared: np.nd
     if len(x):
         x = x[np.argsort(rank[x])]
         text = np.concatenate([key[x, WINDOW:][:, ::-1], key[x, :WINDOW]], axis=1)
-        code = BYTE_CODE[text]
+        text = np.ascontiguousarray(text.T)
         h = np.zeros(len(x), U)
         for t in range(WINDOW):
-            h = h + code[:, LEFT + t] * U(pow(_B, t, 2**64))
+            h = h + BYTE_CODE[text[LEFT + t]] * U(pow(_B, t, 2**64))
         far = U(pow(_B, WINDOW, 2**64))
         for j in range(LEFT + 1):
             if j:
-                h = h * U(_B) + code[:, LEFT - j] - code[:, LEFT - j + WINDOW] * far
+                h = h * U(_B) + BYTE_CODE[text[LEFT - j]] - BYTE_CODE[text[LEFT - j + WINDOW]] * far
             fits = np.flatnonzero((own_l[x] >= j) & (own_r[x] >= WINDOW - j))
             if len(fits) < 2:
                 continue
@@ -358,14 +399,14 @@ def covered(key: np.ndarray, docs: np.ndarray, places: np.ndarray, shared: np.nd
     return docs[hit], lo[hit], hi[hit]
 
 
-def _merge_bucket(t: pa.Table) -> pa.Table:
+def _merge_bucket(t: pa.Table, n_targets: int) -> pa.Table:
     d, lo, hi, runs = [], [], [], []
     for shared, rest, docs, places in zip(*(t[c].to_pylist() for c in ("shared", "rest", "docs", "places"))):
         if shared:
-            runs.append((shared, rest, np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32)))
+            runs.append((unsqueezed(shared, np.uint8).tobytes(), unsqueezed(rest, np.uint8).tobytes(), unsqueezed(docs, np.int64), unsqueezed(places, np.int32)))
         else:
-            span = np.frombuffer(rest, np.int32).reshape(2, -1)
-            d.append(np.frombuffer(docs, np.int64))
+            span = unsqueezed(places, np.int32).reshape(2, -1)
+            d.append(unsqueezed(docs, np.int64))
             lo.append(span[0].astype(np.int64))
             hi.append(span[1].astype(np.int64))
     if runs:
@@ -374,30 +415,35 @@ def _merge_bucket(t: pa.Table) -> pa.Table:
             text.append(key)
             common.append(k)
             of.append(r)
+        key = np.frombuffer(b"".join(text), np.uint8).reshape(-1, WIDTH)
+        del text
         of = np.array(of)
         docs, places = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
         for r, (_, _, rd, rp) in enumerate(runs):
             docs[of == r], places[of == r] = rd, rp
         common = np.array(common)
         common[0] = 0
-        found = covered(np.frombuffer(b"".join(text), np.uint8).reshape(-1, WIDTH), docs, places, common)
+        found = covered(key, docs, places, common)
         for into, x in zip((d, lo, hi), found):
             into.append(x)
-    return _by_doc(np.concatenate(d), [np.concatenate(lo), np.concatenate(hi)], ["starts", "ends"])
+        del key, runs, found
+        trim()
+    return _to_docs(np.concatenate(d), [np.concatenate(lo), np.concatenate(hi)], ["starts", "ends"], n_targets)
 
 
 def repeated_spans(bodies: DataFrame, n_bytes: int) -> DataFrame:
     """(doc, starts, ends): unmerged spans of ``bodies`` (doc long, body binary) that stand earlier."""
-    n_buckets = parts_for(n_bytes, 24 << 20)
+    small_batches(bodies.sparkSession)
+    n_buckets = parts_for(n_bytes, 16 << 20)
     repeated = (
         bodies.mapInArrow(_send_anchors(n_buckets), ANCHOR_ROWS)
-        .groupBy("bucket").applyInArrow(_find_repeated, "doc long, places array<int>")
-        .groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
+        .groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, n_buckets), "target long, docs binary, places binary")
+        .groupBy("target").applyInArrow(_gather, "doc long, places array<int>")
     )
-    runs = bodies.join(repeated, "doc").select("doc", "body", "places").mapInArrow(_send_runs(n_buckets), RUN_ROWS)
     return (
-        runs.groupBy("bucket").applyInArrow(_merge_bucket, "doc long, starts array<int>, ends array<int>")
-        .groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+        bodies.join(repeated, "doc").select("doc", "body", "places").mapInArrow(_send_runs(n_buckets), RUN_ROWS)
+        .groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, n_buckets), "target long, docs binary, starts binary, ends binary")
+        .groupBy("target").applyInArrow(_gather, "doc long, starts array<int>, ends array<int>")
     )
 
 
