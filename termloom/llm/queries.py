@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, packing, sharding, suffix_dedup, url_filter
+from termloom.llm import bpe, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_url_filters": url_filter.op2_url_filters,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_bpe": bpe.op6_bpe,
     "op7_packing": packing.op7_packing,
     "op8_sharding": sharding.op8_sharding,
