@@ -3,7 +3,7 @@
 Each rule votes low, good or abstains on a document's counts.  The votes of all
 documents are summed by pattern (at most 3**len(RULES) patterns, whatever the
 input), expectation-maximisation on the patterns estimates how often each rule
-gives each vote to good and to low documents, and a document is kept if its
+votes low on good and on low documents (an abstention says nothing), and a document is kept if its
 posterior probability of being good is one half or more.  The base checks come
 first and are not votes.
 
@@ -36,13 +36,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: name, votes low if, votes good if (after the first); each on counts as arrays, and only for texts with words
 RULES = [
     ("symbols", lambda c: 100 * c["n_symbols"] > 30 * c["n_words"], lambda c: 100 * c["n_symbols"] <= 5 * c["n_words"]),
-    ("repeats", lambda c: 100 * c["n_repeat_words"] > 15 * c["n_words"], lambda c: 100 * c["n_repeat_words"] <= 2 * c["n_words"]),
+    ("repeats", lambda c: 100 * c["n_repeat_words"] > 30 * c["n_words"], lambda c: 100 * c["n_repeat_words"] <= 5 * c["n_words"]),
     ("lines", lambda c: 100 * c["n_dup_lines"] > 50 * c["n_lines"], lambda c: 100 * c["n_dup_lines"] <= 5 * c["n_lines"]),
     ("word_length", lambda c: (2 * c["word_chars"] < 5 * c["n_words"]) | (c["word_chars"] > 14 * c["n_words"]), lambda c: (c["word_chars"] >= 3 * c["n_words"]) & (c["word_chars"] <= 10 * c["n_words"])),
     ("capitals", lambda c: 100 * c["n_upper"] > 40 * c["n_letters"], lambda c: 100 * c["n_upper"] <= 15 * c["n_letters"]),
     ("letters", lambda c: 100 * c["n_letters"] < 65 * c["word_chars"], lambda c: 100 * c["n_letters"] >= 85 * c["word_chars"]),
 ]
 LOW, ABSTAIN, GOOD = 0, 1, 2
+#: a rule is held to vote low on no greater share of the good documents on which it votes
+FAULT = 0.002
 
 
 def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -116,15 +118,16 @@ def fit(counts: dict[int, int], rounds: int = 100) -> dict[int, float]:
     keys = sorted(counts)
     weight = np.array([counts[k] for k in keys], float)
     votes = np.array([[k // 3**i % 3 for i in range(len(RULES))][::-1] for k in keys])
-    one_hot = np.eye(3)[votes]
+    cast = np.eye(3)[votes][:, :, [LOW, GOOD]]
     good = np.where((votes == LOW).any(1), 0.1, 0.9)
     for _ in range(rounds):
         prior = (weight @ good + 9) / (weight.sum() + 10)
-        table = []
-        for share, lean in ((good, (0.02, 0.18, 0.8)), (1 - good, (0.5, 0.2, 0.3))):
-            seen = np.einsum("p,pij->ij", weight * share, one_hot) + 2 * np.array(lean)
-            table.append(np.log(seen / seen.sum(1, keepdims=True)))
-        odds = np.log(prior / (1 - prior)) + np.einsum("pij,ij->p", one_hot, table[0] - table[1])
+        rates = []
+        for share, lean, least, most in ((good, 0.002, 1e-4, FAULT), (1 - good, 0.5, 0.05, 0.95)):
+            seen = np.einsum("p,pij->ij", weight * share, cast)
+            rates.append(np.clip((seen[:, 0] + 10 * lean) / (seen.sum(1) + 10), least, most))
+        says = np.log(np.stack([rates[0] / rates[1], (1 - rates[0]) / (1 - rates[1])], 1))
+        odds = np.log(prior / (1 - prior)) + np.einsum("pij,ij->p", cast, says)
         after = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if np.abs(after - good).max() < 1e-9:
             break
