@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, near_dedup, packing, quality, sharding, suffix_dedup, url_filter
+from termloom.llm import bpe, near_dedup, packing, quality, sharding, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_packing": packing.op7_packing,
     "op8_sharding": sharding.op8_sharding,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLE_SQL = {
     "op2_url_filters": url_filter.ORACLE,
