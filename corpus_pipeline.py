@@ -4,21 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import packing, suffix_dedup
+from termloom.llm import near_dedup, packing, quality, suffix_dedup, toxicity
 from termloom.llm.bpe import tokenizer_path
 from termloom.llm.common import table, written
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity is one half or more; the model is fitted on the labels."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base or are more likely low than good."""
+    return quality.keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least doc_id stays."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts what stands earlier in the corpus from the texts; every document stays."""
     return suffix_dedup.remove_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all token pieces in sequences."""
     return packing.packed_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("suffix_dedup", suffix_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("quality", quality_stage), ("near_dedup", near_dedup_stage), ("suffix_dedup", suffix_stage), ("packing", packing_stage)]
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
