@@ -120,18 +120,21 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mix(key.ravel()).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "doc"])
 
 
-def estimates(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The similarity of greatest likelihood for counts of greater and less registers and set sizes n and m."""
+def likely(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray, least: float = POSSIBLE) -> np.ndarray:
+    """Whether the similarity of greatest likelihood is ``least`` or more.
+
+    ``greater`` and ``less`` count the registers in which a set of size n exceeds
+    one of size m and falls short of it.  The likelihood is concave in the
+    similarity, so its slope at ``least`` decides.
+    """
     u, v = n / (n + m), m / (n + m)
     p = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (SPACING - 1) / SPACING) / np.log(SPACING)
-    best, at = np.full(len(n), -np.inf), np.zeros(len(n))
-    for j in np.arange(0.005, 1.0001, 0.005):
+
+    def value(j: float) -> np.ndarray:
         up, down = p(u - v * j), p(v - u * j)
-        value = greater * np.log(up) + less * np.log(down) + (REGISTERS - greater - less) * np.log(np.clip(1 - up - down, 1e-9, 1))
-        value = np.where(j <= np.minimum(u / v, v / u) + 1e-9, value, -np.inf)
-        at = np.where(value > best, j, at)
-        best = np.maximum(best, value)
-    return at
+        return greater * np.log(up) + less * np.log(down) + (REGISTERS - greater - less) * np.log(np.clip(1 - up - down, 1e-9, 1))
+
+    return value(least + 1e-3) >= value(least - 1e-3)
 
 
 def forest(docs: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
@@ -154,14 +157,19 @@ def forest(docs: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
 def _may_link(docs: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np.ndarray:
     r = np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, REGISTERS)
     near = np.zeros((len(r), len(r)), bool)
+    first, second, more = [], [], []
     for i in range(len(r) - 1):
-        rest = r[i + 1 :]
-        more, fewer = (r[i] > rest).sum(1), (r[i] < rest).sum(1)
         size = np.minimum(n[i], n[i + 1 :]) * 100 >= LINK * np.maximum(n[i], n[i + 1 :])
-        k = np.flatnonzero(size & (REGISTERS - more - fewer >= REGISTERS * (POSSIBLE - 0.1)))
+        k = i + 1 + np.flatnonzero(size & (np.count_nonzero(r[i] == r[i + 1 :], axis=1) >= REGISTERS * (POSSIBLE - 0.1)))
         if len(k):
-            k = k[estimates(more[k], fewer[k], np.full(len(k), n[i], float), n[i + 1 :][k].astype(float)) >= POSSIBLE]
-            near[i, i + 1 + k] = near[i + 1 + k, i] = True
+            first.append(np.full(len(k), i))
+            second.append(k)
+            more.append(np.count_nonzero(r[i] > r[k], axis=1))
+    if first:
+        i, k, up = (np.concatenate(x) for x in (first, second, more))
+        down = np.concatenate([np.count_nonzero(r[x[0]] < r[y], axis=1) for x, y in zip(first, second)])
+        ok = likely(up, down, n[i].astype(float), n[k].astype(float))
+        near[i[ok], k[ok]] = near[k[ok], i[ok]] = True
     return near
 
 
@@ -217,7 +225,9 @@ def _forest_of(members: DataFrame, sizes: DataFrame, n_parts: int, relation) ->
     own = F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int")
     cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("blocks") > 1, F.col("blocks") - 1).otherwise(0))))
     cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "n", "blob")
-    return cut.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts))).groupBy("part").applyInArrow(_grouped(relation), "a long, b long")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.repartition(tasks, "part").groupBy("part").applyInArrow(_grouped(relation), "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
