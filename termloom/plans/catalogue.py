@@ -227,17 +227,18 @@ def _days(t):
     return t("events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))  # a row a day
 
 
-DAY = W.orderBy("day")
+def _by_day():
+    return W.orderBy("day")
 
 
 @query(_DAYS + " SELECT day FROM (SELECT day, n < 320 AND lag(n) OVER (ORDER BY day) >= 320 AS x FROM d) WHERE x")
 def q_threshold_cross(t):
-    return _days(t).withColumn("x", S.crossings(c("n"), 320, DAY)).where("x").select("day")
+    return _days(t).withColumn("x", S.crossings(c("n"), 320, _by_day())).where("x").select("day")
 
 
 @query(_DAYS + " SELECT day, n FROM (SELECT day, n, n < lag(n) OVER (ORDER BY day) AND n < lead(n) OVER (ORDER BY day) AS x FROM d) WHERE x")
 def q_local_minima(t):
-    return _days(t).withColumn("x", S.local_minima(c("n"), DAY)).where("x").select("day", "n")
+    return _days(t).withColumn("x", S.local_minima(c("n"), _by_day())).where("x").select("day", "n")
 
 
 @query(_DAYS + " SELECT CAST(dayofmonth(day) // 7 AS INTEGER) AS week, arg_min(day, n * 100 + dayofmonth(day)) AS day FROM d GROUP BY 1")
