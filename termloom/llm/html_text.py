@@ -106,6 +106,10 @@ class Page:
                 if at:
                     close(at)
                 continue
+            if name in BLOCKS and name != "html":
+                at = next((i for i in range(1, min(3, len(stack))) if stack[i][0] == "head"), 0)
+                if at:  # content ends an open head
+                    close(at)
             ends = CLOSES.get(name)
             if ends:
                 for i in range(len(stack) - 1, 0, -1):
