@@ -96,7 +96,17 @@ def _cut(path: str):
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how often each is used, for so many pieces of each length."""
+    """Patterns of lengths and how often each is used, for so many pieces of each length.
+
+    Few pieces are better kept for best-fit than spent on long combinations, so
+    combinations of up to one, two and three lengths are tried and the plan with
+    the fewest sequences is taken.
+    """
+    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda p: sum(k for _, k in p))
+
+
+def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose gaps are filled exactly by at most ``most`` lengths before the rest is placed best-fit."""
     left = np.zeros(size + 1, np.int64)
     for k, v in counts.items():
         left[k] = v
@@ -119,13 +129,13 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
         gap = size - a
         if left[a] and gap <= a:
             use(a, gap)
-        if left[a]:
+        if left[a] and most > 1:
             for b in range(min(a, gap - 1), (gap - 1) // 2, -1):
                 if left[b] and left[gap - b]:
                     use(a, b, gap - b)
                     if not left[a]:
                         break
-        if left[a] and 3 * a >= gap:
+        if left[a] and most > 2 and 3 * a >= gap:
             for b in range(min(a, gap - 2), (gap + 2) // 3 - 1, -1):
                 if not left[b]:
                     continue
