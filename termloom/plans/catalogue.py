@@ -155,6 +155,25 @@ def q_whitespace_histogram(t):
     return L.white_columns(t("documents"), "text", 40)
 
 
+@query("""WITH RECURSIVE v AS (SELECT DISTINCT p_type, p_size AS x FROM part), r(p_type, x) AS (
+  SELECT p_type, min(x) FROM v GROUP BY 1 UNION ALL
+  SELECT r.p_type, (SELECT min(v.x) FROM v WHERE v.p_type = r.p_type AND v.x - r.x > 3) FROM r WHERE EXISTS (SELECT 1 FROM v WHERE v.p_type = r.p_type AND v.x - r.x > 3))
+SELECT p_type, x AS row_start FROM r""")
+def q_row_tolerance(t):
+    values = t("part").groupBy("p_type").agg(F.sort_array(F.collect_set("p_size")).alias("v"))  # as many as there are sizes
+    return values.select("p_type", F.explode(L.leaders(c("v"), 3)).alias("row_start"))
+
+
+@query("""WITH h AS (SELECT p, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), range(1, 41) r(p) WHERE substr(line, CAST(p AS BIGINT), 1) = ' ' GROUP BY 1),
+b AS (SELECT p, p - row_number() OVER (ORDER BY p) AS g FROM h WHERE n * 100 >= 75 * (SELECT max(n) FROM h))
+SELECT CAST(min(p) - 1 AS INTEGER) AS first, count(*) AS width FROM b GROUP BY g HAVING count(*) >= 2""")
+def q_column_islands(t):
+    counts = L.white_columns(t("documents"), "text", 40)  # 40 rows at most
+    frequent = counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("most")))).where("n * 100 >= 75 * most")
+    runs = frequent.withColumn("g", c("position") - F.row_number().over(W.orderBy("position")))
+    return runs.groupBy("g").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("width")).where("width >= 2").select("first", "width")
+
+
 @query("""WITH e AS (SELECT *, epoch_us(ts) / 1000000.0 - lag(epoch_us(ts) / 1000000.0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)
 SELECT event_id, CASE WHEN gap > 7200 THEN 4 WHEN gap > 3600 THEN 2 WHEN gap > 600 THEN 1 ELSE 0 END AS spaces FROM e""")
 def q_gap_spaces(t):
