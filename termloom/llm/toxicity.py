@@ -41,7 +41,8 @@ TERMS = 2_000
 FOLDS = 5
 #: tokens before and after a hit that tell quotation from abuse
 CONTEXT = 6
-MEMO = 600_000
+#: matched tokens and automaton states that are kept from one text to the next
+MEMO, STATES = 600_000, 200_000
 EDGE = ".,;:!?|#*$%&<>()[]{}\"'`~^_=+/\\-“”„«»‘’…"
 QUOTES = ("\"", "“", "”", "„", "«", "»")
 #: words of reporting in the languages at hand
@@ -82,6 +83,10 @@ class Lexicon:
                 self.begins[node] = term
             else:
                 self.ends[node] = term
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the states made so far; they are made again as words lead into them."""
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.steps: list[dict[str, int]] = []
@@ -131,6 +136,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and the edits to it."""
+        if len(self.sets) >= STATES:
+            self.forget()
         state = self.start
         for c in word:
             state = self.steps[state].get(c) if c in self.steps[state] else self._step(state, c)
@@ -180,8 +187,6 @@ class Scorer:
         self.memo: dict[str, tuple[str, int] | None] = {}
 
     def hit(self, token: str) -> tuple[str, int] | None:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
         word = normal(token)
         found = self.memo[token] = self.lexicon.match(word) if len(word) > 3 else None
         return found
@@ -189,12 +194,14 @@ class Scorer:
     def features(self, text: str) -> list[float]:
         tokens = text.split()
         memo, terms = self.memo, set()
+        if len(memo) >= MEMO:  # between texts only: below, all tokens of this one are in it
+            memo.clear()
         abuse = quoted = fuzzy = most = 0.0
         for t in set(tokens).difference(memo):
             self.hit(t)
-        hits = [i for i, t in enumerate(tokens) if memo.get(t)] if len(memo) < MEMO else [i for i, t in enumerate(tokens) if self.hit(t)]
+        hits = [i for i, t in enumerate(tokens) if memo[t]]
         for i in hits:
-            term, edits = memo.get(tokens[i]) or self.hit(tokens[i])
+            term, edits = memo[tokens[i]]
             w = self.lexicon.weights[term] * 0.6**edits
             around = tokens[max(0, i - CONTEXT) : i + CONTEXT + 1]
             if sum(any(q in t for q in QUOTES) for t in around) >= 2 or any(normal(t) in REPORTING for t in around):
