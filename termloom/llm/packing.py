@@ -33,7 +33,9 @@ from pyspark.sql import Window as W
 from termloom.llm.bpe import SETTLED, byte_symbols, tokenizer_path
 from termloom.llm.common import small_batches, table, written
 
-SIZE, END, SALTS = 1024, 2, 32
+SIZE, END = 1024, 2
+#: pieces of one length are ranked in at least so many parts, of about so many pieces
+SALTS, SALT_ROWS = 32, 65_536
 _END = array("I", [END]).tobytes()
 #: the split of byte-level BPE
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -187,30 +189,33 @@ def places(patterns: list[tuple[tuple[int, ...], int]], size: int = SIZE) -> dic
 def pack(pieces: DataFrame, order: list[str], size: int = SIZE) -> DataFrame:
     """``pieces`` with sequence_id and offset; ``pieces`` must be a table that reads the same each time.
 
-    ``order`` breaks ties between pieces of one length.  The plan needs at most
-    size * SALTS counts on the driver, whatever the input.
+    ``order`` breaks ties between pieces of one length.  The driver holds the number
+    of pieces of each length and of each part of a length: size * SALTS numbers and
+    one more for every SALT_ROWS pieces.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    counts = sorted((r["length"], r["salt"], r["n"]) for r in salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect())
-    total: dict[int, int] = defaultdict(int)
-    first = np.zeros((size + 1, SALTS), np.int64)
-    for length, salt, n in counts:
-        first[length, salt] = total[length]
-        total[length] += n
-    where = places(plan(dict(total), size), size)
+    total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = {k: max(SALTS, -(-n // SALT_ROWS)) for k, n in total.items()}
+    many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k in sorted(parts) if parts[k] > SALTS for x in (k, parts[k])]), F.col("length")), F.lit(SALTS)) if any(k > SALTS for k in parts.values()) else F.lit(SALTS)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), many).cast("int"))
+    first = {k: np.zeros(n + 1, np.int64) for k, n in parts.items()}
+    for r in salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect():
+        first[r["length"]][r["salt"] + 1] = r["n"]
+    first = {k: np.cumsum(n) for k, n in first.items()}
+    where = places(plan(total, size), size)
     names = pieces.columns
     at = names.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(at).to_numpy()
-            rank = first[length, batch.column(len(names)).to_numpy()] + batch.column(len(names) + 1).to_numpy()
+            salt, rank = batch.column(len(names)).to_numpy(), batch.column(len(names) + 1).to_numpy()
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for n in np.unique(length):
                 own = length == n
                 starts, bases, offsets = where[int(n)]
-                k = np.searchsorted(starts, rank[own], "right") - 1
-                sequence[own], offset[own] = bases[k] + rank[own] - starts[k], offsets[k]
+                at_rank = first[int(n)][salt[own]] + rank[own]
+                k = np.searchsorted(starts, at_rank, "right") - 1
+                sequence[own], offset[own] = bases[k] + at_rank - starts[k], offsets[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy(*order)) - 1)

@@ -197,6 +197,21 @@ def test_bpe_and_packing(spark, sf):
         assert s[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(s, s[1:])) and sum(s[-1]) <= packing.SIZE
 
 
+def test_packing_with_many_parts_of_a_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTS", 2)
+    monkeypatch.setattr(packing, "SALT_ROWS", 7)
+    lengths = [1024] * 90 + [600] * 50 + [424] * 49 + [3] * 200
+    pieces = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    full = collections.defaultdict(list)
+    for r in packing.pack(pieces, ["doc_id", "piece"]).collect():
+        full[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, full.values())) == len(lengths)
+    for s in full.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(s, s[1:])) and sum(s[-1]) <= packing.SIZE
+    assert len(full) == -(-sum(lengths) // packing.SIZE)
+
+
 def test_forced_boundaries_against_the_library():
     from tokenizers import Tokenizer
 
@@ -268,6 +283,17 @@ def test_toxicity(spark, sf):
             assert got[d].predicted == 0
 
 
+def test_full_memos_change_no_score(monkeypatch):
+    weights = {"idiot": 2.0, "trash": 1.5, "disgusting": 3.0}
+    random.seed(4)
+    many = [" ".join(random.choice(["idiot", "trsh", "trash", "disgustin", "calm"] + [f"w{i}" for i in range(40)]) for _ in range(60)) for _ in range(30)]
+    want = [toxicity.Scorer(weights).features(t) for t in many]
+    monkeypatch.setattr(toxicity, "MEMO", 7)
+    monkeypatch.setattr(toxicity, "STATES", 5)
+    scorer = toxicity.Scorer(weights)
+    assert [scorer.features(t) for t in many] == want
+
+
 def test_automata_accept_what_edit_distance_says():
     from functools import cache
 
