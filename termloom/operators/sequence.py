@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,10 +55,11 @@ def viterbi(emissions: DataFrame, start: dict[int, float], steps: dict[tuple[int
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         times = sorted(group["t"].unique())
+        number = {t: i for i, t in enumerate(times)}
         seen = np.full((len(times), len(states)), np.log(floor))
         for t, s, p in zip(group["t"], group["state"], group["p"]):
             if s in place:
-                seen[times.index(t), place[s]] = np.log(max(floor, p))
+                seen[number[t], place[s]] = np.log(max(floor, p))
         best, back = first + seen[0], []
         for row in seen[1:]:
             paths = best[:, None] + move
@@ -69,3 +72,11 @@ def viterbi(emissions: DataFrame, start: dict[int, float], steps: dict[tuple[int
         return pd.DataFrame({"seq": group["seq"].iloc[0], "t": times, "state": [states[i] for i in reversed(path)]})
 
     return emissions.groupBy("seq").applyInPandas(run, "seq long, t int, state int")
+
+
+def mark_choices(text: Column, mark: str, most: int = 8) -> Column:
+    """All ways to keep or leave out the marks in a text, as an array; a text with more than ``most`` marks is only itself."""
+    parts = F.split(text, re.escape(mark))
+    n = F.size(parts) - 1
+    kept = lambda bits: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when((i < n) & (F.floor(bits / F.pow(F.lit(2), i)) % 2 == 1), F.lit(mark)).otherwise(F.lit("")))), "")
+    return F.when(n > most, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), (F.pow(F.lit(2), F.least(n, F.lit(most))) - 1).cast("int")), kept))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -35,14 +37,16 @@ def sobel_histogram(image: np.ndarray, cells: int = 4, directions: int = 12) ->
     return np.bincount((cell * directions + turn).ravel(), size.ravel(), cells * cells * directions)
 
 
-def mixture(x: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and deviations of two Gaussians, started at the least and greatest value."""
+def mixture(x: np.ndarray, times: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and deviations of two Gaussians, started at the least and greatest value; each value counts ``times``."""
     x = np.asarray(x, float)
-    mean, dev, weight = np.array([x.min(), x.max()]), np.full(2, x.std() + 1e-6), np.full(2, 0.5)
+    times = np.ones(len(x)) if times is None else np.asarray(times, float)
+    spread = np.sqrt(np.average((x - np.average(x, weights=times)) ** 2, weights=times))
+    mean, dev, weight = np.array([x.min(), x.max()]), np.full(2, spread + 1e-6), np.full(2, 0.5)
     for _ in range(rounds):
         log = np.log(weight) - np.log(dev) - 0.5 * ((x[:, None] - mean) / dev) ** 2
         share = np.exp(log - log.max(1, keepdims=True))
-        share /= share.sum(1, keepdims=True)
+        share *= (times / share.sum(1))[:, None]
         n = share.sum(0) + 1e-12
         weight, mean = n / n.sum(), (share * x[:, None]).sum(0) / n
         dev = np.sqrt((share * (x[:, None] - mean) ** 2).sum(0) / n) + 1e-6
@@ -59,3 +63,61 @@ def kmeans_1d(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
             break
         c = after
     return np.sort(c)
+
+
+def components(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Connected pieces of ink (8 neighbours): their labels from 1 in reading order, and a box (x, y, w, h, pixels) for each."""
+    h, w = ink.shape
+    edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    root = np.arange(len(row))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    of_row = np.searchsorted(row, np.arange(h + 1))
+    for y in range(1, h):
+        i, j = of_row[y - 1], of_row[y]
+        while i < of_row[y] and j < of_row[y + 1]:
+            if start[i] <= end[j] and start[j] <= end[i]:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+            if end[i] < end[j]:
+                i += 1
+            else:
+                j += 1
+    _, own = np.unique([find(i) for i in range(len(row))], return_inverse=True) if len(row) else (None, np.zeros(0, int))
+    labels, boxes = np.zeros((h, w), np.int32), []
+    for y, a, b, k in zip(row, start, end, own):
+        labels[y, a:b] = k + 1
+    for k in range(own.max(initial=-1) + 1):
+        m = own == k
+        x, y = start[m].min(), row[m].min()
+        boxes.append((x, y, end[m].max() - x, row[m].max() - y + 1, (end[m] - start[m]).sum()))
+    return labels, np.array(boxes, np.int64).reshape(-1, 5)
+
+
+def zernike(image: np.ndarray, degree: int = 17) -> np.ndarray:
+    """Magnitudes of the Zernike moments up to ``degree`` over the disc around the image's centre; turning the image keeps them."""
+    h, w = image.shape
+    y, x = np.indices(image.shape)
+    x, y = (2 * x + 1 - w) / np.hypot(w, h), (2 * y + 1 - h) / np.hypot(w, h)
+    r, turn, mass = np.hypot(x, y).ravel(), np.arctan2(y, x).ravel(), image.astype(float).ravel()
+    powers = r[None] ** np.arange(degree + 1)[:, None]
+    out = []
+    for n in range(degree + 1):
+        for m in range(n % 2, n + 1, 2):
+            radial = sum((-1) ** k * math.comb(n - k, k) * math.comb(n - 2 * k, (n - m) // 2 - k) * powers[n - 2 * k] for k in range((n - m) // 2 + 1))
+            out.append((n + 1) / np.pi * abs((mass * radial * np.exp(-1j * m * turn)).sum()) * 4 / (w * w + h * h))
+    return np.array(out)
+
+
+def skew(ink: np.ndarray, most: float = 10, step: float = 0.25) -> float:
+    """The angle in degrees, clockwise on the page, at which lines of ink gather best in a Hough accumulator."""
+    y, x = np.nonzero(ink)
+    angles = np.arange(-most, most + step / 2, step)
+    angles = angles[np.argsort(np.abs(angles), kind="stable")]  # of equal ones the least
+    best = [float((np.unique(np.round(y * np.cos(a) - x * np.sin(a)), return_counts=True)[1].astype(float) ** 2).sum()) for a in np.radians(angles)]
+    return float(angles[int(np.argmax(best))]) if len(y) else 0.0

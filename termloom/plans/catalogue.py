@@ -322,9 +322,9 @@ def q_punc_ratio(t):
     return t("documents").select("doc_id", ((F.length("text") - F.length(F.replace(c("text"), F.lit(", "), F.lit("")))) / 2).cast("long").alias("marks"), F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(text, 2000), '\\s+x\\s*$', ''), '\\s+x\\s+', ' ', 'g'), '^x\\s+', ''), '\\bx\\b', '', 'g')) AS cleaned FROM documents WHERE lang = 'en' AND NOT regexp_matches(left(text, 2000), '[ༀ-࿿]|\\b(BNA|ANA|aT|AQ|STARE|ATS|AAS)\\b') AND regexp_matches(left(text, 2000), '^[ -~\\n]*$')")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+x\\s*$', ''), '\\s+x\\s+', ' ', 'g'), '^x\\s+', ''), '\\bx\\b', '', 'g')) AS cleaned FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[ༀ-࿿]|\\b(BNA|ANA|aT|AQ|STARE|ATS|AAS)\\b') AND regexp_matches(text, '^[ -~\\n]*$')")
 def q_clean_noise(t):
-    d = t("documents").withColumn("s", F.left("text", F.lit(2000))).where("lang = 'en'").where(~c("s").rlike(X.TIBETAN + r"|\b(BNA|ANA|aT|AQ|STARE|ATS|AAS)\b") & c("s").rlike(r"\A[ -~\n]*\z"))
+    d = t("documents").withColumn("s", c("text")).where("lang = 'en'").where(~c("s").rlike(X.TIBETAN + r"|\b(BNA|ANA|aT|AQ|STARE|ATS|AAS)\b") & c("s").rlike(r"\A[ -~\n]*\z"))
     return d.select("doc_id", X.clean_word(c("s")).alias("cleaned"))
 
 
@@ -445,8 +445,8 @@ def q_carry_forward(t):
 
 @query()
 def q_viterbi(t):
-    kinds = t("events").select("event_type").distinct().orderBy("event_type").limit(5)
-    number = {r[0]: i for i, r in enumerate(kinds.collect())}  # five types
+    kinds = t("events").select("event_type").where("event_type IS NOT NULL").distinct().orderBy("event_type")
+    number = {r[0]: i for i, r in enumerate(kinds.collect())}  # a row for each type
     state = F.element_at(F.create_map(*[x for k, v in number.items() for x in (F.lit(k), F.lit(v))]), c("event_type"))
     e = t("events").select(c("user_id").alias("seq"), (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).alias("t"), state.alias("state"), F.lit(0.6).alias("p"))
     n = len(number)
@@ -456,11 +456,11 @@ def q_viterbi(t):
 @query()
 def q_gmm_widths(t):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        w, m, s = V.mixture(g["l_quantity"].to_numpy())
+        w, m, s = V.mixture(g["l_quantity"].to_numpy(), g["count"].to_numpy())
         return pd.DataFrame({"l_returnflag": g["l_returnflag"].iloc[0], "part": range(2), "weight": w, "mean": m, "dev": s})
 
     counted = t("lineitem").groupBy("l_returnflag", "l_quantity").count()  # a row for each quantity
-    return counted.groupBy("l_returnflag").applyInPandas(lambda g: run(g.loc[g.index.repeat((g["count"] // 50).clip(1))]), "l_returnflag string, part int, weight double, mean double, dev double")
+    return counted.groupBy("l_returnflag").applyInPandas(run, "l_returnflag string, part int, weight double, mean double, dev double")
 
 
 @query()
@@ -476,3 +476,28 @@ def q_features(t):
         return v.map(lambda e: np.concatenate([V.sobel_histogram(np.asarray(e).reshape(8, 8)), V.transitions(np.asarray(e).reshape(8, 8) > 0)]).tolist())
 
     return t("embeddings").where("size(embedding) = 64").select("vec_id", features("embedding").alias("features"))
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_name, 'e') AS a FROM part)
+SELECT p_partkey, array_to_string(list_transform(range(len(a)), lambda i: a[i + 1] || CASE WHEN i < len(a) - 1 AND (m.bits >> i) & 1 = 1 THEN 'e' ELSE '' END), '') AS form
+FROM p, range(256) m(bits) WHERE m.bits < 1 << (len(a) - 1)""")
+def q_mark_choices(t):
+    return t("part").select("p_partkey", F.explode(S.mark_choices(c("p_name"), "e")).alias("form"))
+
+
+@query()
+def q_components(t):
+    @F.pandas_udf("array<struct<x:long,y:long,w:long,h:long,pixels:long>>")
+    def boxes(v: pd.Series) -> pd.Series:
+        return v.map(lambda e: [dict(zip(("x", "y", "w", "h", "pixels"), map(int, b))) for b in V.components(np.asarray(e).reshape(8, 8) > 0)[1]])
+
+    return t("embeddings").where("size(embedding) = 64").select("vec_id", F.explode(boxes("embedding")).alias("box")).select("vec_id", "box.*")
+
+
+@query()
+def q_zernike(t):
+    @F.pandas_udf("array<double>")
+    def moments(v: pd.Series) -> pd.Series:
+        return v.map(lambda e: V.zernike(np.asarray(e).reshape(8, 8)).tolist())
+
+    return t("embeddings").where("size(embedding) = 64").select("vec_id", moments("embedding").alias("moments"))

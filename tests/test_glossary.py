@@ -150,6 +150,40 @@ def test_kernels():
     assert np.allclose(V.kmeans_1d(np.array([1.0, 2, 3, 11, 12, 13]), 2), [2, 12])
 
 
+def test_image_pieces():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        ink = rng.random((14, 17)) < 0.35
+        labels, boxes = V.components(ink)
+        left, n = {tuple(p) for p in np.argwhere(ink)}, 0
+        while left:
+            todo, piece = [min(left)], set()
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in left:
+                    left.remove((y, x))
+                    piece.add((y, x))
+                    todo += [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            n += 1
+            (k,) = {int(labels[p]) for p in piece}
+            ys, xs = zip(*piece)
+            assert tuple(boxes[k - 1]) == (min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(piece))
+        assert n == len(boxes)
+    assert V.components(np.zeros((3, 3), bool))[1].shape == (0, 5)
+    page = rng.random((32, 32))
+    assert V.zernike(page).shape == (90,) and np.allclose(V.zernike(page), V.zernike(np.rot90(page)))
+    y, x = np.indices((200, 200))
+    assert V.skew((np.round(y - np.tan(np.radians(3)) * x) % 25) == 0) == 3 and V.skew(y % 25 == 0) == 0
+    assert V.skew(np.zeros((4, 4), bool)) == 0
+    assert np.allclose(V.mixture(np.array([1.0, 2, 9]), np.array([3, 1, 4])), V.mixture(np.array([1.0, 1, 1, 2, 9, 9, 9, 9])))
+
+
+def test_mark_choices(spark):
+    assert sorted(one(spark, lambda v: S.mark_choices(v, "."), "a.b.c")[0]) == sorted(["abc", "a.bc", "ab.c", "a.b.c"])
+    assert one(spark, lambda v: S.mark_choices(v, "."), "." * 9) == [["." * 9]]
+    assert one(spark, lambda v: S.mark_choices(v, "."), "") == [[""]]
+
+
 def test_config():
     base = {"a": 1, "b": True}
     assert merged_config(base, {"a": None, "b": False}) == {"a": 1, "b": False} and base["b"]
