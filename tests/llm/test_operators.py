@@ -82,14 +82,21 @@ def test_repeated_rows(spark, sf, tmp_path):
     assert rows(QUERIES["op4_near_dedup"](spark, sf)) == rows(QUERIES["op4_near_dedup"](spark, str(tmp_path)))
 
 
-def test_suffix_dedup(spark, sf):
-    seen, want = set(), {}
-    for d, t in sorted(TEXTS, key=lambda x: -1 if x[0] is None else x[0]):
+def repeats(pairs=TEXTS):
+    """For each document its bytes and the places that stand earlier in a 100-byte string."""
+    seen = set()
+    for d, t in sorted(pairs, key=lambda x: -1 if x[0] is None else x[0]):
         b, gone = (t or "").encode(), set()
         for p in range(len(b) - 99):
             if b[p : p + 100] in seen:
                 gone.update(range(p, p + 100))
             seen.add(b[p : p + 100])
+        yield d, b, gone
+
+
+def test_suffix_dedup(spark, sf):
+    want = {}
+    for d, b, gone in repeats():
         spans = sum(p - 1 not in gone for p in gone)
         want[d] = (d, len(b), len(gone), spans, hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest())
     assert rows(QUERIES["op1_suffix_dedup"](spark, sf)) == want
@@ -114,10 +121,10 @@ def test_merge_runs_needs_no_known_prefix():
         assert b[1] == next((i for i in range(width) if a[0][i] != b[0][i]), width)
 
 
-def components():
+def components(pairs=TEXTS):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     sets, least = {}, {}
-    for d, t in TEXTS:
+    for d, t in pairs:
         w = WORD.findall((t or "").encode().translate(lower))
         sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
         least[d] = d
