@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
-    return near_dedup.drop_near_duplicates(docs)
+    """Of each group of near duplicates, linked from a similarity of 0.8 on, the document with the least doc_id stays."""
+    return near_dedup.drop_near_duplicates(docs, link=near_dedup.STAGE_LINK)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

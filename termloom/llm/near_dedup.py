@@ -1,7 +1,7 @@
 """Near-duplicate documents by SetSketch registers, verified on whole shingle sets.
 
 1. Map: each document's set of distinct ``WORDS``-word shingles, as 64-bit hashes,
-   and its sketch: REGISTERS exponentially spaced, truncated minima of
+   and its sketch: exponentially spaced, truncated minima of
    exponential variables that the shingles seed.  Sketches merge by maximum, and
    two sets agree in a register about as often as their Jaccard similarity says.
 2. Documents with equal sets are one class; its least doc_id stands for it.
@@ -15,7 +15,7 @@
    spanning forest leaves.  Its components are the result.
 
 A pair at the threshold misses all bands with a probability under 1e-6
-((1 - 0.85**ROWS)**BANDS), and the estimate's margin is five deviations.
+((1 - threshold**ROWS)**bands), and the estimate's margin is five deviations.
 
 Results for odd input: null text and texts without words have an empty set and
 are linked with nothing; fewer than WORDS words count as one shingle; a null
@@ -25,7 +25,9 @@ share its result; an empty table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +38,31 @@ from termloom.llm.bytescan import BASE, LOWER, U, flat, groups, mix, prefix_hash
 from termloom.llm.common import NULL_ID, id_column, parts_for, small_batches, table, trim, written
 from termloom.llm.components import components
 
-WORDS, BANDS, ROWS = 5, 24, 5
-REGISTERS = BANDS * ROWS
-#: similarity from which documents are linked, in hundredths
-LINK = 85
+WORDS, ROWS = 5, 5
+#: similarity from which documents are linked, in hundredths: of the query, and of the pipeline's stage
+LINK, STAGE_LINK = 85, 80
+#: probability that a pair at the threshold misses all bands
+MISSED = 1e-6
 #: registers grow by this factor; the least exponential is read at this rate
 SPACING, RATE, TOP = 1.001, 20.0, 65535
-#: five deviations of an estimate from REGISTERS registers below the threshold
-POSSIBLE = LINK / 100 - 5 * (LINK / 100 * (1 - LINK / 100) / REGISTERS) ** 0.5
 BLOCK = 512
-_seeds = np.random.default_rng(7).integers(1, 2**63, (REGISTERS, 2), dtype=U)
-SEED_ADD, SEED_MUL = _seeds[:, 0], _seeds[:, 1] * U(2) + U(1)
+
+
+def bands_for(link: int) -> int:
+    """The fewest bands that a pair at the threshold misses with a probability under MISSED: 24 at 85, 35 at 80."""
+    return math.ceil(math.log(MISSED) / math.log(1 - (link / 100) ** ROWS))
+
+
+def possible(link: int) -> float:
+    """Five deviations of an estimate from the threshold's registers below the threshold."""
+    return link / 100 - 5 * (link / 100 * (1 - link / 100) / (bands_for(link) * ROWS)) ** 0.5
+
+
+@cache
+def seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is added and multiplied for each of ``count`` registers; more registers begin with the same ones."""
+    x = np.random.default_rng(7).integers(1, 2**63, (count, 2), dtype=U)
+    return x[:, 0], x[:, 1] * U(2) + U(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -74,13 +90,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, l
         yield a, sets
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """A sketch for each of the nonempty sets: rows of REGISTERS 16-bit numbers."""
-    out = np.empty((REGISTERS, len(sets)), U)
+def registers(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """A sketch for each of the nonempty sets: rows of ``count`` 16-bit numbers."""
+    add, mul = seeds(count)
+    out = np.empty((count, len(sets)), U)
     x = np.concatenate(sets)
     first = np.cumsum([0, *map(len, sets[:-1])])
-    for i in range(REGISTERS):
-        out[i] = np.minimum.reduceat((x ^ SEED_ADD[i]) * SEED_MUL[i], first)
+    for i in range(count):
+        out[i] = np.minimum.reduceat((x ^ add[i]) * mul[i], first)
     least = -np.log1p(-np.minimum((out.T.astype(np.float64) + 1) / 2.0**64, 1 - 1e-16))
     return np.clip(np.floor(1 - np.log(least / RATE) / np.log(SPACING)), 0, TOP).astype(np.uint16)
 
@@ -88,42 +105,48 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 SKETCH = "doc long, n long, sig1 long, sig2 long, regs binary"
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = flat(batch.column(1))
-        docs = batch.column(0).to_numpy()
-        for a, sets in shingle_sets(data, offsets):
-            n = np.array([len(x) for x in sets], np.int64)
-            own = docs[a : a + len(sets)]
-            sig1, sig2 = own.copy(), np.full(len(sets), -1, np.int64)
-            regs: list[bytes | None] = [None] * len(sets)
-            full = np.flatnonzero(n)
-            if len(full):
-                x = np.concatenate(sets)
-                first = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                sig1[full] = np.add.reduceat(mix(x), first).view(np.int64)
-                sig2[full] = np.add.reduceat(mix(x * SEED_MUL[0]), first).view(np.int64)
-                for k, r in zip(full.tolist(), registers([sets[k] for k in full])):
-                    regs[k] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(sig1), pa.array(sig2), pa.array(regs, pa.binary())], ["doc", "n", "sig1", "sig2", "regs"])
-    trim()
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        r = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(U)
-        key = np.zeros(r.shape[:2], U) + np.arange(1, BANDS + 1, dtype=U)
-        for i in range(ROWS):
-            key = key * BASE + r[:, :, i]
-        yield pa.RecordBatch.from_arrays([pa.array(mix(key.ravel()).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "doc"])
+def _sketches(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            docs = batch.column(0).to_numpy()
+            for a, sets in shingle_sets(data, offsets):
+                n = np.array([len(x) for x in sets], np.int64)
+                own = docs[a : a + len(sets)]
+                sig1, sig2 = own.copy(), np.full(len(sets), -1, np.int64)
+                regs: list[bytes | None] = [None] * len(sets)
+                full = np.flatnonzero(n)
+                if len(full):
+                    x = np.concatenate(sets)
+                    first = np.concatenate([[0], np.cumsum(n[full])[:-1]])
+                    sig1[full] = np.add.reduceat(mix(x), first).view(np.int64)
+                    sig2[full] = np.add.reduceat(mix(x * seeds(count)[1][0]), first).view(np.int64)
+                    for k, r in zip(full.tolist(), registers([sets[k] for k in full], count)):
+                        regs[k] = r.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(sig1), pa.array(sig2), pa.array(regs, pa.binary())], ["doc", "n", "sig1", "sig2", "regs"])
+        trim()
+
+    return run
+
 
+def _bands(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, count, ROWS).astype(U)
+            key = np.zeros(r.shape[:2], U) + np.arange(1, count + 1, dtype=U)
+            for i in range(ROWS):
+                key = key * BASE + r[:, :, i]
+            yield pa.RecordBatch.from_arrays([pa.array(mix(key.ravel()).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), count))], ["key", "doc"])
 
-def likely(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray, least: float = POSSIBLE) -> np.ndarray:
+    return run
+
+
+def likely(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray, least: float, count: int) -> np.ndarray:
     """Whether the similarity of greatest likelihood is ``least`` or more.
 
-    ``greater`` and ``less`` count the registers in which a set of size n exceeds
+    ``greater`` and ``less`` count the registers, of ``count``, in which a set of size n exceeds
     one of size m and falls short of it.  The likelihood is concave in the
     similarity, so its slope at ``least`` decides.
     """
@@ -132,7 +155,7 @@ def likely(greater: np.ndarray, less: np.ndarray, n: np.ndarray, m: np.ndarray,
 
     def value(j: float) -> np.ndarray:
         up, down = p(u - v * j), p(v - u * j)
-        return greater * np.log(up) + less * np.log(down) + (REGISTERS - greater - less) * np.log(np.clip(1 - up - down, 1e-9, 1))
+        return greater * np.log(up) + less * np.log(down) + (count - greater - less) * np.log(np.clip(1 - up - down, 1e-9, 1))
 
     return value(least + 1e-3) >= value(least - 1e-3)
 
@@ -154,13 +177,14 @@ def forest(docs: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _may_link(docs: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-    r = np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, REGISTERS)
+def _may_link(n: np.ndarray, blobs: list[bytes], link: int) -> np.ndarray:
+    count, least = bands_for(link) * ROWS, possible(link)
+    r = np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, count)
     near = np.zeros((len(r), len(r)), bool)
     first, second, more = [], [], []
     for i in range(len(r) - 1):
-        size = np.minimum(n[i], n[i + 1 :]) * 100 >= LINK * np.maximum(n[i], n[i + 1 :])
-        k = i + 1 + np.flatnonzero(size & (np.count_nonzero(r[i] == r[i + 1 :], axis=1) >= REGISTERS * (POSSIBLE - 0.1)))
+        size = np.minimum(n[i], n[i + 1 :]) * 100 >= link * np.maximum(n[i], n[i + 1 :])
+        k = i + 1 + np.flatnonzero(size & (np.count_nonzero(r[i] == r[i + 1 :], axis=1) >= count * (least - 0.1)))
         if len(k):
             first.append(np.full(len(k), i))
             second.append(k)
@@ -168,12 +192,12 @@ def _may_link(docs: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np.ndarray
     if first:
         i, k, up = (np.concatenate(x) for x in (first, second, more))
         down = np.concatenate([np.count_nonzero(r[x[0]] < r[y], axis=1) for x, y in zip(first, second)])
-        ok = likely(up, down, n[i].astype(float), n[k].astype(float))
+        ok = likely(up, down, n[i].astype(float), n[k].astype(float), least, count)
         near[i[ok], k[ok]] = near[k[ok], i[ok]] = True
     return near
 
 
-def _link(docs: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+def _link(n: np.ndarray, blobs: list[bytes], link: int) -> np.ndarray:
     """Which sets reach the threshold, by exact counts of common shingles."""
     sets = [np.frombuffer(x, U) for x in blobs]
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -193,10 +217,10 @@ def _link(docs: np.ndarray, n: np.ndarray, blobs: list[bytes]) -> np.ndarray:
         has = np.zeros((len(sets), step), np.float32)
         has[row[own], column[own] - c] = 1
         common += has @ has.T
-    return 100 * common >= LINK * (n[:, None] + n[None] - common)
+    return 100 * common >= link * (n[:, None] + n[None] - common)
 
 
-def _grouped(relation):
+def _grouped(relation, link: int):
     """Edges of the forests of all groups of one part."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -209,14 +233,14 @@ def _grouped(relation):
             rows = order[s:e]
             rows = rows[np.concatenate([[True], docs[rows][1:] != docs[rows][:-1]])]
             if len(rows) > 1:
-                out += forest(docs[rows], relation(docs[rows], n[rows].astype(np.int64), [blobs[k] for k in rows]))
+                out += forest(docs[rows], relation(n[rows].astype(np.int64), [blobs[k] for k in rows], link))
         trim()
         return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _forest_of(members: DataFrame, sizes: DataFrame, n_parts: int, relation) -> DataFrame:
+def _forest_of(members: DataFrame, sizes: DataFrame, n_parts: int, relation, link: int) -> DataFrame:
     """Edges that connect what ``relation`` connects inside each key; (key, doc, n, blob) and (key, size).
 
     A key of over BLOCK members is cut into blocks, and each pair of blocks is a group.
@@ -227,7 +251,7 @@ def _forest_of(members: DataFrame, sizes: DataFrame, n_parts: int, relation) ->
     cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "n", "blob")
     cut = cut.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(tasks, "part").groupBy("part").applyInArrow(_grouped(relation), "a long, b long")
+    return cut.repartition(tasks, "part").groupBy("part").applyInArrow(_grouped(relation, link), "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,31 +262,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(2), own.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "doc", "n", "blob"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n, component) for each row; doc and component are NULL_ID for a null id."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
+    """(doc, n, component) for each row; doc and component are NULL_ID for a null id.
+
+    Pairs with a similarity of ``link`` hundredths or more are linked.
+    """
     small_batches(docs.sparkSession)
     bodies = docs.select(id_column(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
-    sketches = written(bodies.mapInArrow(_sketches, SKETCH), "sketches")
+    sketches = written(bodies.mapInArrow(_sketches(bands_for(link) * ROWS), SKETCH), "sketches")
     classes = written(sketches.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = sketches.select("doc", "n", "regs").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    bands = reps.select("doc", "regs").mapInArrow(_bands, "key long, doc long")
+    bands = reps.select("doc", "regs").mapInArrow(_bands(bands_for(link)), "key long, doc long")
     shared = bands.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
     members = written(bands.join(shared, "key").select("key", "doc", "size"), "members")
     n_parts = parts_for(members.count(), 4096)
     with_regs = members.select("key", "doc").join(reps, "doc").select("key", "doc", "n", F.col("regs").alias("blob"))
-    candidates = components(_forest_of(with_regs, members.select("key", "size").distinct(), n_parts, _may_link), "a", "b")
+    candidates = components(_forest_of(with_regs, members.select("key", "size").distinct(), n_parts, _may_link, link), "a", "b")
     candidates = written(candidates, "candidates")
     sets = bodies.join(candidates.select(F.col("node").alias("doc"), F.col("component").alias("key")), "doc").select("doc", "body", "key").mapInArrow(_sets, "key long, doc long, n long, blob binary")
     sizes = candidates.groupBy(F.col("component").alias("key")).agg(F.count(F.lit(1)).alias("size"))
     n_parts = parts_for(candidates.count(), 512)
-    linked = components(_forest_of(sets, sizes, n_parts, _link), "a", "b")
+    linked = components(_forest_of(sets, sizes, n_parts, _link, link), "a", "b")
     of_class = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component"))
     return sketches.select("doc", "n", "sig1", "sig2").join(of_class, ["n", "sig1", "sig2"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """``docs`` without the documents whose component has a lesser id; every column stays."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc <> component").select(F.col("doc").alias("__tl_doc")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, link).where("doc <> component").select(F.col("doc").alias("__tl_doc")).distinct()
     return docs.withColumn("__tl_doc", id_column(id_col)).join(gone, "__tl_doc", "left_anti").select(*docs.columns)
 
 
