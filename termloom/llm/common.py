@@ -49,6 +49,25 @@ def id_column(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, key: str = "__tl_doc") -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a column ``key`` that rows share only if id and text are equal, in the order of the ids.
+
+    The key is the id itself where no id, null among them, has two texts.  Else it is
+    the row number of (id, hashes of the text) in order, and the second result is
+    (key, id); the numbered documents are written, so that a row's number is found once.
+    """
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    marks = {"__tl_id": id_column(id_col), "__tl_h1": F.xxhash64(body), "__tl_h2": F.xxhash64(F.lit(1), body)}
+    found = docs.select(*(c.alias(name) for name, c in marks.items()))
+    differs = (F.min("__tl_h1") != F.max("__tl_h1")) | (F.min("__tl_h2") != F.max("__tl_h2"))
+    if found.groupBy("__tl_id").agg(differs.alias("differs")).where("differs").isEmpty():
+        return docs.withColumn(key, id_column(id_col)), None
+    order = found.distinct().orderBy(*marks)
+    numbers = written(order.withColumn(key, F.monotonically_increasing_id()), "numbers")
+    out = written(docs.withColumns(marks).join(numbers, list(marks)).select(*docs.columns, key), "numbered")
+    return out, numbers.select(key, F.col("__tl_id").alias("id"))
+
+
 #: rows that Arrow hands to Python at once: with texts of 100 kB a batch stays near 50 MB
 BATCH_ROWS = 500
 

@@ -20,7 +20,8 @@ A pair at the threshold misses all bands with a probability under 1e-6
 Results for odd input: null text and texts without words have an empty set and
 are linked with nothing; fewer than WORDS words count as one shingle; a null
 doc_id is less than any other and comes back as null; rows that repeat a doc_id
-share its result; an empty table gives no rows; other columns are left out.
+with the same text share its result, with other texts they are documents of their
+own, in the order of the texts' hashes, null ids among them; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.bytescan import BASE, LOWER, U, flat, groups, mix, prefix_hash, span_hash, window_hash, words
-from termloom.llm.common import NULL_ID, id_column, parts_for, small_batches, table, trim, written
+from termloom.llm.common import NULL_ID, numbered, parts_for, small_batches, table, trim, written
 from termloom.llm.components import components
 
 WORDS, ROWS = 5, 5
@@ -262,13 +263,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(2), own.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "doc", "n", "blob"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
-    """(doc, n, component) for each row; doc and component are NULL_ID for a null id.
-
-    Pairs with a similarity of ``link`` hundredths or more are linked.
-    """
-    small_batches(docs.sparkSession)
-    bodies = docs.select(id_column(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+def _linked(keyed: DataFrame, text_col: str, link: int) -> DataFrame:
+    """(doc, n, component) for each row of numbered documents."""
+    small_batches(keyed.sparkSession)
+    bodies = keyed.select(F.col("__tl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     sketches = written(bodies.mapInArrow(_sketches(bands_for(link) * ROWS), SKETCH), "sketches")
     classes = written(sketches.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = sketches.select("doc", "n", "regs").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
@@ -287,13 +285,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sketches.select("doc", "n", "sig1", "sig2").join(of_class, ["n", "sig1", "sig2"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
+def _results(docs: DataFrame, id_col: str, text_col: str, link: int) -> DataFrame:
+    """(doc, n, component, kept) for each row, with ids again."""
+    keyed, ids = numbered(docs, id_col, text_col)
+    found = _linked(keyed, text_col, link).withColumn("kept", F.col("doc") == F.col("component"))
+    if ids is not None:
+        for c in ("doc", "component"):
+            found = found.join(ids.select(F.col("__tl_doc").alias(c), F.col("id").alias(f"{c}_id")), c).drop(c).withColumnRenamed(f"{c}_id", c)
+    return found.select("doc", "n", "component", "kept")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
+    """(doc, n, component) for each row; doc and component are NULL_ID for a null id.
+
+    Pairs with a similarity of ``link`` hundredths or more are linked.
+    """
+    return _results(docs, id_col, text_col, link).drop("kept")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """``docs`` without the documents whose component has a lesser id; every column stays."""
-    gone = near_duplicates(docs, id_col, text_col, link).where("doc <> component").select(F.col("doc").alias("__tl_doc")).distinct()
-    return docs.withColumn("__tl_doc", id_column(id_col)).join(gone, "__tl_doc", "left_anti").select(*docs.columns)
+    keyed, _ = numbered(docs, id_col, text_col)
+    gone = _linked(keyed, text_col, link).where("doc <> component").select(F.col("doc").alias("__tl_doc")).distinct()
+    return keyed.join(gone, "__tl_doc", "left_anti").select(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = _results(table(spark, sf_dir, "documents"), "doc_id", "text", LINK)
     back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
-    return found.select(back("doc").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return found.select(back("doc").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), "kept")

@@ -21,8 +21,9 @@ are sorted.
 
 Results for odd input: null text is empty; a null doc_id sorts before all others
 and comes back as null; rows that repeat a doc_id with the same text count as one
-document and each get its result (with other texts: their spans are pooled and
-clipped); an empty table gives no rows; other columns are passed by.
+document and each get its result; with other texts they are documents of their
+own, in the order of the texts' hashes, null ids among them; an empty table gives
+no rows; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.bytescan import BYTE_CODE, U, flat, mix
-from termloom.llm.common import NULL_ID, id_column, parts_for, small_batches, table, total_bytes, trim
+from termloom.llm.common import NULL_ID, id_column, numbered, parts_for, small_batches, table, total_bytes, trim
 
 WINDOW, GRAM = 100, 32
 LEFT = WINDOW - GRAM
@@ -501,8 +502,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 4, pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def bodies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(id_column(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+def bodies_of(docs: DataFrame, text_col: str = "text", *others: Column) -> DataFrame:
+    """(doc, body) of numbered documents, and ``others``."""
+    return docs.select(F.col("__tl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), *others)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -510,8 +512,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every row and column stays; ``size_col``, if there, gets the new number of code points.
     """
-    bodies = bodies_of(docs, id_col, text_col)
-    spans = repeated_spans(bodies, total_bytes(docs, text_col)).toDF("__tl_doc", "__tl_starts", "__tl_ends")
+    keyed, _ = numbered(docs, id_col, text_col)
+    spans = repeated_spans(bodies_of(keyed, text_col), total_bytes(docs, text_col)).toDF("__tl_doc", "__tl_starts", "__tl_ends")
     names = docs.columns
     at = names.index(text_col)
     n_at = names.index(size_col) if size_col in names else None
@@ -529,12 +531,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 arrays[n_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column(n_at).type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    joined = docs.withColumn("__tl_doc", id_column(id_col)).join(spans, "__tl_doc", "left")
+    joined = keyed.join(spans, "__tl_doc", "left")
     return joined.select(*names, "__tl_doc", "__tl_starts", "__tl_ends").mapInArrow(cut, docs.schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    bodies = bodies_of(docs)
-    spans = repeated_spans(bodies, total_bytes(docs, "text"))
-    return bodies.join(spans, "doc", "left").select("doc", "body", "starts", "ends").mapInArrow(_digests, DIGEST)
+    keyed, _ = numbered(docs, "doc_id", "text")
+    spans = repeated_spans(bodies_of(keyed), total_bytes(docs, "text"))
+    bodies = bodies_of(keyed, "text", id_column("doc_id").alias("id"))
+    return bodies.join(spans, "doc", "left").select("id", "body", "starts", "ends").mapInArrow(_digests, DIGEST)

@@ -1,10 +1,13 @@
 """What the operators once left out, against brute force."""
 
+import hashlib
 import random
 
 import corpus_pipeline
-from termloom.llm import near_dedup
-from tests.llm.test_operators import rows
+from pyspark.sql import functions as F
+from termloom.llm import near_dedup, suffix_dedup
+from termloom.llm.queries import QUERIES
+from tests.llm.test_operators import components, repeats, rows
 
 
 def shingles(text):
@@ -27,3 +30,31 @@ def test_near_dedup_stage_links_from_80(spark):
     assert kept == {2 * i for i in range(120)} | {2 * i + 1 for i, s in enumerate(similar) if s < 80}
     at_85 = rows(near_dedup.near_duplicates(docs))
     assert {d for d, r in at_85.items() if r[2] != d} == {2 * i + 1 for i, s in enumerate(similar) if s >= 85}
+
+
+def test_rows_of_one_id_with_other_texts_are_documents_of_their_own(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join("v" + str(rng.randrange(10**9)) for _ in range(n))
+    shared, near = text(30), text(100)
+    doubled = f"{text(20)} {shared} {shared} {text(20)}"
+    own = [(None, doubled), (None, text(150)), (None, f"{near} {text(1)}"), (None, f"{near} {text(1)}"), (7, text(150)), (7, doubled), (8, text(90))]
+    spark.createDataFrame([*own, (None, own[1][1])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    order = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("h")).distinct().collect()
+    order = [(i, (r.doc_id, r.text)) for i, r in enumerate(sorted(order, key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.h)))]
+    cut = {}
+    for (_, row), (_, b, gone) in zip(order, repeats([(i, t) for i, (_, t) in order])):
+        cut[row] = bytes(x for i, x in enumerate(b) if i not in gone)
+    assert sum(len(c) < len(t) for (_, t), c in cut.items()) == 3
+    want = sorted((cut[r] for r in [*own, own[1]]), key=str)
+    got = QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.kept_sha256) for r in got) == sorted((d is None, hashlib.sha256(cut[d, t]).hexdigest()) for d, t in [*own, own[1]])
+    assert sorted((r.text.encode() for r in suffix_dedup.remove_repeats(docs).collect()), key=str) == want
+    found = components([(i, t) for i, (_, t) in order])
+    ids, number = dict((i, d) for i, (d, _) in order), {row: i for i, row in order}
+    verdict = [(d, ids[found[number[d, t]][2]], found[number[d, t]][3]) for d, t in [*own, own[1]]]
+    assert sum(not v[2] for v in verdict) == 2
+    got = QUERIES["op4_near_dedup"](spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted(verdict, key=str)
+    left = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(((d, t) for (d, t), v in zip([*own, own[1]], verdict) if v[2]), key=str)
