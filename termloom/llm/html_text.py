@@ -10,11 +10,13 @@ others after them, those that can hold an article are ranked: by what their tag
 or name says, by class, by the text in their slots.  A page gives the slots of
 the first of these that it has; a host seen too little, or a page without any of
 them, is judged by the page alone.  Menus, headers, footers, sidebars, notices,
-adverts, forms and comments inside are left out; texts that recur on most pages
-of a host are, too, unless the element is marked as the article.
+adverts, forms and comments inside are left out; texts that recur beside differing
+texts on most of a host's distinct pages are, too, unless the element is marked as
+the article or nothing would be left.
 
-Templates are joined to pages by broadcast up to ``BROADCAST_HOSTS`` hosts (each
-row is bounded), and beyond that by a join on host and salt.
+Templates are joined to pages by broadcast up to ``BROADCAST_HOSTS`` hosts and
+``BROADCAST_TEXTS`` recurring texts, and beyond that by a join on host and salt.
+A host's recurring texts are at most 1 / SPAN times those of a page of it.
 
 Results for odd input: null and empty html give an empty text; a null url has
 the empty host; unclosed and stray tags are mended as browsers do; repeated rows
@@ -55,7 +57,9 @@ HOLDERS = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|body|text
 MARKED, MAIN, NAMED_SO, PLAIN = 3, 2, 1, 0
 #: pages that a host must show for a template, and the share of them that a class must span
 LEAST_PAGES, SPAN = 4, 0.5
-HOLDERS_KEPT, TEXTS_KEPT, BROADCAST_HOSTS, SALTS = 16, 200, 20_000, 32
+HOLDERS_KEPT, BROADCAST_HOSTS, BROADCAST_TEXTS, SALTS = 16, 20_000, 1_000_000, 32
+#: longest other texts that tell whether a text recurs beside the same article
+BESIDE = 2
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -153,7 +157,15 @@ class Page:
         if key is None:
             return " ".join(t for t, around in self.texts if not around and text_hash(t) not in constant)
         plain = own[key][0] < MARKED
-        return " ".join(t for t, around in self.texts if any(self.keys[e] == key for e in around) and not (plain and text_hash(t) in constant))
+        held = [t for t, around in self.texts if any(self.keys[e] == key for e in around)]
+        left = [t for t in held if not (plain and text_hash(t) in constant)]
+        return " ".join(left or held)
+
+    def beside(self) -> dict[int, int]:
+        """For each text, by hash, a hash of the longest others: copies of an article are alike in it, other articles aren't."""
+        own = sorted({(-len(t), text_hash(t)) for t, _ in self.texts})
+        first = [h for _, h in own[: BESIDE + 1]]
+        return {h: hash(tuple(x for x in first if x != h)[:BESIDE]) for _, h in own}
 
 
 def text_hash(text: str) -> int:
@@ -161,7 +173,7 @@ def text_hash(text: str) -> int:
 
 
 ROOT, ELEMENT, CONSTANT = 0, 1, 2
-STATISTICS = "host string, kind int, token long, pages long, vector long, mass long, rank int"
+STATISTICS = "host string, kind int, token long, beside long, pages long, vector long, mass long, rank int"
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,18 +182,19 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         out = [(*k, *v) for k, v in seen.items()]
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), *[pa.int64()] * 4, pa.int32()))], ["host", "kind", "token", "pages", "vector", "mass", "rank"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), *[pa.int64()] * 5, pa.int32()))], ["host", "kind", "token", "beside", "pages", "vector", "mass", "rank"])
 
     for batch in batches:
         for host, page_id, source in zip(*(c.to_pylist() for c in batch.columns)):
             page = Page(source or "")
             own = page.holders()
             marked = any(r == MARKED for r, _ in own.values())
-            tokens = [(ROOT, 0, 1, 0, 0), *((ELEMENT, k, n, own.get(k, (0, 0))[1], own.get(k, (-1, 0))[0]) for k, n in page.counts.items())]
+            beside = page.beside()
+            tokens = [(ROOT, 0, hash(tuple(list(beside)[: BESIDE + 1])), 1, 0, 0), *((ELEMENT, k, 0, n, own.get(k, (0, 0))[1], own.get(k, (-1, 0))[0]) for k, n in page.counts.items())]
             if not marked:
-                tokens += [(CONSTANT, h, 1, 0, 0) for h in {text_hash(t) for t, _ in page.texts}]
-            for kind, token, n, mass, rank in tokens:
-                x = seen.setdefault((host, kind, token), [0, 0, 0, -1])
+                tokens += [(CONSTANT, h, other, 1, 0, 0) for h, other in beside.items()]
+            for kind, token, other, n, mass, rank in tokens:
+                x = seen.setdefault((host, kind, token, other), [0, 0, 0, -1])
                 x[0] += 1
                 x[1] ^= hash((page_id, n, 0x9E3779B9)) & (2**63 - 1)
                 x[2] += mass
@@ -195,14 +208,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, holders, constant) for each host with a template, from pages (host, page_id, html)."""
-    found = pages.mapInArrow(_statistics, STATISTICS).groupBy("host", "kind", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("mass").alias("mass"), F.max("rank").alias("rank"))
+    sums = [F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("mass").alias("mass"), F.max("rank").alias("rank")]
+    found = pages.mapInArrow(_statistics, STATISTICS).groupBy("host", "kind", "token", "beside").agg(*sums)
+    found = found.groupBy("host", "kind", "token").agg(F.count(F.lit(1)).alias("differing"), *sums)
     found = written(found.where("pages > 1"), "page-tokens")
-    hosts = found.where(F.col("kind") == ROOT).where(F.col("pages") >= LEAST_PAGES).select("host", F.col("pages").alias("of"))
+    hosts = found.where(F.col("kind") == ROOT).where(F.col("pages") >= LEAST_PAGES).select("host", F.col("pages").alias("of"), F.col("differing").alias("of_differing"))
     frequent = found.join(hosts, "host").where(F.col("pages") >= SPAN * F.col("of"))  # at most 1 / SPAN times the tokens of a page for each host
     classes = frequent.where(F.col("kind") == ELEMENT).groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("members"))
     holder = F.struct(F.col("rank").alias("rank"), (F.col("members") > 1).alias("in_class"), F.col("mass").alias("mass"), F.col("token").alias("token"))
     holders = frequent.where((F.col("kind") == ELEMENT) & (F.col("rank") > PLAIN)).join(classes, ["host", "pages", "vector"]).groupBy("host").agg(F.slice(F.sort_array(F.collect_list(holder), False), 1, HOLDERS_KEPT)["token"].alias("holders"))
-    constant = frequent.where(F.col("kind") == CONSTANT).groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct("pages", "token")), False), 1, TEXTS_KEPT)["token"].alias("constant"))
+    recurring = found.join(hosts, "host").where((F.col("kind") == CONSTANT) & (F.col("of_differing") >= LEAST_PAGES) & (F.col("differing") >= SPAN * F.col("of_differing")))
+    constant = recurring.groupBy("host").agg(F.collect_list("token").alias("constant"))
     return hosts.select("host").join(holders, "host", "left").join(constant, "host", "left")
 
 
@@ -211,8 +227,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     small_batches(pages.sparkSession)
     rows = pages.select(F.coalesce(host_and_path(F.col(url_col))[0], F.lit("")).alias("host"), F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"), F.col(url_col).cast("string").alias("url"))
     known = written(templates(rows.select("host", "page_id", "html")), "templates")
-    if known.count() <= BROADCAST_HOSTS:
-        met = rows.join(F.broadcast(known), "host", "left")  # its size was checked; each row is bounded
+    size = known.agg(F.count(F.lit(1)).alias("hosts"), F.coalesce(F.sum(F.greatest(F.size("constant"), F.lit(0))), F.lit(0)).alias("texts")).first()
+    if size["hosts"] <= BROADCAST_HOSTS and size["texts"] <= BROADCAST_TEXTS:
+        met = rows.join(F.broadcast(known), "host", "left")  # its size was checked
     else:
         salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt")
         each = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

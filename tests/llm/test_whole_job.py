@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from termloom.llm import near_dedup, suffix_dedup
+from termloom.llm import html_text, near_dedup, suffix_dedup
 from termloom.llm.queries import QUERIES
 from tests.llm.test_operators import components, repeats, rows
 
@@ -58,3 +58,22 @@ def test_rows_of_one_id_with_other_texts_are_documents_of_their_own(spark, tmp_p
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted(verdict, key=str)
     left = near_dedup.drop_near_duplicates(docs).collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted(((d, t) for (d, t), v in zip([*own, own[1]], verdict) if v[2]), key=str)
+
+
+def extracted_texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://{host}/p{i}", html) for i, (host, html) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extracted(df).collect()}
+
+
+def test_copies_of_an_article_are_no_boilerplate(spark):
+    page = lambda *texts: "<body><div class=content>" + "".join(f"<p>{t}</p>" for t in texts) + "</div></body>"
+    article = lambda k: (f"the first part of article {k}", f"a second one of {k}", f"end {k}")
+    mirrors = [("m.org", page(*article(k))) for k in (0, 0, 1, 2)]
+    repeated = [("r.org", page(*article(5)))] * 6
+    hot = [("h.org", page(*article(k), "menu")) for k in [0] * 8 + list(range(1, 8))]
+    many = [f"line {k}" for k in range(300)]
+    long = [("l.org", page(*article(k), *many)) for k in range(6)]
+    want = [*(" ".join(article(k)) for k in (0, 0, 1, 2)), *[" ".join(article(5))] * 6, *(" ".join(article(k)) for k in [0] * 8 + list(range(1, 8))), *(" ".join(article(k)) for k in range(6))]
+    got = extracted_texts(spark, [*mirrors, *repeated, *hot, *long])
+    assert [got[i] for i in range(len(want))] == want
+    assert html_text.Page(page("all of it recurs")).text([], {html_text.text_hash("all of it recurs")}) == "all of it recurs"
