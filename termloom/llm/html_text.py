@@ -8,8 +8,9 @@ of the host's pages is part of the template.  The template's elements nest; the
 slots between them hold the data.  Of the template's elements, and of frequent
 others after them, those that can hold an article are ranked: by what their tag
 or name says, by class, by the text in their slots.  A page gives the slots of
-the first of these that it has; a host seen too little, or a page without any of
-them, is judged by the page alone.  Menus, headers, footers, sidebars, notices,
+all its elements that rank as high as the first of these that it has, in page
+order; a host seen too little, or a page without any of them, is judged by the
+page alone, and one without any named holder gives all its blocks.  Menus, headers, footers, sidebars, notices,
 adverts, forms and comments inside are left out; texts that recur beside differing
 texts on most of a host's distinct pages are, too, unless the element is marked as
 the article or nothing would be left.
@@ -154,12 +155,11 @@ class Page:
         if key is None and own:
             marked = [k for k, (rank, _) in own.items() if rank > PLAIN]
             key = max(marked or own, key=lambda k: (own[k], -list(own).index(k)))
-        if key is None:
-            return " ".join(t for t, around in self.texts if not around and text_hash(t) not in constant)
-        plain = own[key][0] < MARKED
-        held = [t for t, around in self.texts if any(self.keys[e] == key for e in around)]
-        left = [t for t in held if not (plain and text_hash(t) in constant)]
-        return " ".join(left or held)
+        least = own[key][0] if key is not None else PLAIN
+        ranked = [(t, max((self.ranks[e] for e in around), default=PLAIN)) for t, around in self.texts]
+        held = [(t, rank) for t, rank in ranked if rank >= least]
+        left = [t for t, rank in held if rank == MARKED or text_hash(t) not in constant]
+        return " ".join(left or [t for t, _ in held])
 
     def beside(self) -> dict[int, int]:
         """For each text, by hash, a hash of the longest others: copies of an article are alike in it, other articles aren't."""

@@ -77,3 +77,11 @@ def test_copies_of_an_article_are_no_boilerplate(spark):
     got = extracted_texts(spark, [*mirrors, *repeated, *hot, *long])
     assert [got[i] for i in range(len(want))] == want
     assert html_text.Page(page("all of it recurs")).text([], {html_text.text_hash("all of it recurs")}) == "all of it recurs"
+
+
+def test_sibling_holders_all_give_their_text(spark):
+    sides = [("<article id='post-1'><p>one</p></article>", "<article id='post-2'><p>and two</p></article>"), ("<article class='lead'>one</article>", "<article class='body'>and two</article>"), ("<div id='text-1'>one</div>", "<div id='text-2'>and two</div>")]
+    pages = [(f"s{i}.org", f"<body><p>no</p>{a}<p>no</p>{b}</body>") for i, (a, b) in enumerate(sides)]
+    pages += [("t.org", f"<body><p>no</p><article class='lead'>one {i}</article><article class='body'>and two</article></body>") for i in range(5)]
+    got = extracted_texts(spark, [*pages, ("u.org", "first <h1>one</h1><p>and two</p>")])
+    assert got == {i: "one and two" for i in range(3)} | {3 + i: f"one {i} and two" for i in range(5)} | {8: "first one and two"}
