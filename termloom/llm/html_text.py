@@ -13,7 +13,8 @@ order; a host seen too little, or a page without any of them, is judged by the
 page alone, and one without any named holder gives all its blocks.  Menus, headers, footers, sidebars, notices,
 adverts, forms and comments inside are left out; texts that recur beside differing
 texts on most of a host's distinct pages are, too, unless the element is marked as
-the article or nothing would be left.
+the article or nothing would be left.  An element that is left out for its class or
+id alone stays if it holds the article (see ``Page``).
 
 Templates are joined to pages by broadcast up to ``BROADCAST_HOSTS`` hosts and
 ``BROADCAST_TEXTS`` recurring texts, and beyond that by a join on host and salt.
@@ -52,10 +53,17 @@ CLOSES["li"], CLOSES["dt"], CLOSES["dd"] = {"li", "p"}, {"dt", "dd", "p"}, {"dt"
 SCOPES = {"html", "body", "article", "main", "section", "div", "table", "ul", "ol", "dl", "td", "th", "blockquote", "aside", "form", "nav", "header", "footer"}
 ASIDE = {"nav", "aside", "footer", "form", "button", "menu", "dialog", "head"}
 NAMED = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|cookies?|consent|gdpr|notice|banner|ads?|advert\w*|sponsor\w*|promo\w*|comments?|commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|masthead|pagination|pager|toolbar|alert|skip|copyright)(?:$|[\s_-])", re.I)
+#: class names that say what a page has or lacks, not what the element is
+MODIFIER = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S*", re.I)
+#: these are never the article, however much text they hold
+DISCUSSION = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|reply|replies|respond|related|recommend\w*)(?:$|[\s_-])", re.I)
 TOPS = re.compile(r"(?:^|[\s_-])(?:header|topbar|top)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 HOLDERS = re.compile(r"(?:^|[\s_-])(?:content|article|post|entry|story|body|text|main|page)(?:$|[\s_-])", re.I)
+HOLDER_NAMES = re.compile(r"(?<!\S)(?:content|article|post|entry|story|body|text|main|page)(?!\S)", re.I)
 MARKED, MAIN, NAMED_SO, PLAIN = 3, 2, 1, 0
+#: in a NAMED element: it holds the main element or the article's body; around an element: what is left out anyway
+SURE, HARD = 4, -2
 #: pages that a host must show for a template, and the share of them that a class must span
 LEAST_PAGES, SPAN = 4, 0.5
 HOLDERS_KEPT, BROADCAST_HOSTS, BROADCAST_TEXTS, SALTS = 16, 20_000, 1_000_000, 32
@@ -68,15 +76,55 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class Page:
-    """The blocks of a page: ``texts`` with the numbers of the elements around each, and the elements' ``keys`` and ``ranks``."""
+    """The blocks of a page: ``texts`` with the numbers of the elements around each, and the elements' ``keys`` and ``ranks``.
+
+    Elements with a telling class or id (NAMED) are left out with all they hold.
+    The page is read again without that for those that hold the main element or
+    the article's body, or an article where no other holder is left, or another
+    holder and most of the text; and for all of them if no text is left.
+    """
 
     def __init__(self, source: str):
+        self._read(source, frozenset())
+        if self.lost:
+            spared = self._spared()
+            if spared:
+                self._read(source, spared)
+            if not self.texts and any(self.lost):
+                self._read(source, None)
+
+    def _spared(self) -> frozenset[int]:
+        """The places of NAMED elements that hold the article, with those around them."""
+        within, best = self.lost[:], self.inside[:]
+        for i in range(len(within) - 1, -1, -1):
+            if (up := self.above[i]) >= 0:
+                within[up] += within[i]
+                best[up] = max(best[up], best[i])
+        kept = sum(len(t) for t, _ in self.texts)
+        total = kept + sum(self.lost)
+        other = any(rank > PLAIN for rank, _ in self.holders().values())
+        out = set()
+        for i, n in enumerate(within):
+            sure = best[i] == SURE or best[i] == MARKED and not other or best[i] > PLAIN and 2 * n > total
+            if n and sure and not self.discussed[i]:
+                while i >= 0:
+                    out.add(self.places[i])
+                    i = self.above[i]
+        return frozenset(out)
+
+    def _read(self, source: str, spared: frozenset[int] | None) -> None:
+        #: of each NAMED element: its place in the source, text in it but in no other, the one around it, the best holder in it, whether it is a discussion
+        self.places: list[int] = []
+        self.lost: list[int] = []
+        self.above: list[int] = []
+        self.inside: list[int] = []
+        self.discussed: list[bool] = []
         self.keys: list[int] = []
         self.ranks: list[int] = []
         self.counts: dict[int, int] = {}
         self.texts: list[tuple[str, tuple[int, ...]]] = []
         self.mass: dict[int, int] = {}
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]  # the last: the NAMED element around, HARD in what is left out anyway
         around: list[int] = []
         piece: list[str] = []
 
@@ -90,7 +138,7 @@ class Page:
                         self.mass[e] = self.mass.get(e, 0) + len(text)
 
         def close(n: int) -> None:
-            for name, _, _, held in stack[n:]:
+            for name, _, _, held, _ in stack[n:]:
                 if held:
                     around.pop()
             del stack[n:]
@@ -100,6 +148,8 @@ class Page:
             if text is not None:
                 if not stack[-1][2]:
                     piece.append(text)
+                elif stack[-1][4] >= 0:
+                    self.lost[stack[-1][4]] += len(" ".join(text.split()))
                 continue
             if name is None:
                 continue
@@ -131,14 +181,32 @@ class Page:
                 continue
             role = a.get("role", "")
             marked = any(self.ranks[e] == MARKED for e in around)
-            aside = stack[-1][2] or name in ASIDE or (name == "header" or bool(TOPS.search(label))) and not marked or role in ROLES or bool(label.strip()) and name not in ("html", "body") and bool(NAMED.search(label)) or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
+            within = stack[-1][4]
+            hard = within == HARD or name in ASIDE or (name == "header" or bool(TOPS.search(label))) and not marked or role in ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
+            named = not hard and bool(label.strip()) and name not in ("html", "body") and bool(NAMED.search(MODIFIER.sub(" ", label)))
+            aside = stack[-1][2] or hard
+            if hard:
+                within = HARD
+            else:
+                body = a.get("itemprop") == "articleBody" or name == "main" or role == "main"
+                if named:
+                    self.places.append(m.start())
+                    self.lost.append(0)
+                    self.above.append(within)
+                    self.inside.append(PLAIN)
+                    self.discussed.append(bool(DISCUSSION.search(label)) and not body)
+                    within = len(self.lost) - 1
+                    aside = aside or spared is not None and m.start() not in spared
+                if within >= 0:
+                    found = SURE if body else MARKED if name == "article" and not named else NAMED_SO if HOLDER_NAMES.search(label) else PLAIN
+                    self.inside[within] = max(self.inside[within], found)
             held = name in BLOCKS and not aside
             if held:
                 rank = MARKED if name == "article" or a.get("itemprop") == "articleBody" else MAIN if name == "main" or role == "main" else NAMED_SO if label.strip() and HOLDERS.search(label) else PLAIN
                 around.append(len(self.keys))
                 self.keys.append(key)
                 self.ranks.append(rank)
-            stack.append((name, key, aside, held))
+            stack.append((name, key, aside, held, within))
         flush()
 
     def holders(self) -> dict[int, tuple[int, int]]:

@@ -85,3 +85,17 @@ def test_sibling_holders_all_give_their_text(spark):
     pages += [("t.org", f"<body><p>no</p><article class='lead'>one {i}</article><article class='body'>and two</article></body>") for i in range(5)]
     got = extracted_texts(spark, [*pages, ("u.org", "first <h1>one</h1><p>and two</p>")])
     assert got == {i: "one and two" for i in range(3)} | {3 + i: f"one {i} and two" for i in range(5)} | {8: "first one and two"}
+
+
+def test_telling_names_around_the_article():
+    text = lambda page: html_text.Page(page).text([], set())
+    for name in ("has-sidebar", "no-sidebar", "with-comments", "sidebar-left", "sidebar"):
+        assert text(f"<body><div>skip</div><div id='page' class='{name}'><nav>m</nav><p>one</p><p>and two of it</p><div class='sidebar'>s</div></div></body>") == "one and two of it"
+    assert text("<body><p>top</p><div class='content social-science'><p>one</p><p>and two</p></div></body>") == "one and two"
+    assert text("<body><p>a long text that stands before it</p><div class='widget'><article>one</article></div></body>") == "one"
+    assert text("<body><div class=content>all that is said</div><div class='widget'><main>one</main></div></body>") == "one"
+    assert text("<body><div class='alert'><p>only this</p></div></body>") == "only this"
+    assert text("<body><div class=content>one</div><div class=related><article>a card with much more text</article></div></body>") == "one"
+    assert text("<body><div class=content>one</div><div class=menu><p>a menu with much more text</p></div></body>") == "one"
+    assert text("<body><div class=content>one<div class=comments><div class=text>a comment with much more text</div></div></div></body>") == "one"
+    assert text("<body><div class=content>one<span class=share>share it</span> two</div></body>") == "one two"
