@@ -40,8 +40,9 @@ def leaders(values: Column, gap) -> Column:
     return F.aggregate(values, F.slice(values, 1, 1), lambda acc, x: F.when(x - F.element_at(acc, -1) > gap, F.concat(acc, F.array(x))).otherwise(acc))
 
 
-def white_columns(df: DataFrame, text: str, width: int) -> DataFrame:
-    """(position, n): on how many lines a position up to ``width`` is blank."""
+def white_columns(df: DataFrame, text: str, width: int | None = None, blank: str = r"\s") -> DataFrame:
+    """(position, n): on how many lines a position is ``blank``, a pattern; on whole lines, or up to ``width``."""
     lines = df.select(F.explode(F.split(text, "\n")).alias("line"))
-    chars = lines.select(F.posexplode(F.split(F.left("line", F.lit(width)), "")).alias("position", "ch"))
-    return chars.where(F.col("ch") == " ").groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("line") if width is None else F.left("line", F.lit(width))
+    chars = lines.select(F.posexplode(F.split(own, "")).alias("position", "ch"))
+    return chars.where(F.col("ch").rlike(blank)).groupBy("position").agg(F.count(F.lit(1)).alias("n"))

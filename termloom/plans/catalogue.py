@@ -152,7 +152,7 @@ def q_leader_clusters(t):
 
 @query("SELECT CAST(p - 1 AS INTEGER) AS position, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), range(1, 41) r(p) WHERE substr(line, CAST(p AS BIGINT), 1) = ' ' GROUP BY 1")
 def q_whitespace_histogram(t):
-    return L.white_columns(t("documents"), "text", 40)
+    return L.white_columns(t("documents"), "text", 40, " ")
 
 
 @query("""WITH RECURSIVE v AS (SELECT DISTINCT p_type, p_size AS x FROM part), r(p_type, x) AS (
@@ -168,7 +168,7 @@ def q_row_tolerance(t):
 b AS (SELECT p, p - row_number() OVER (ORDER BY p) AS g FROM h WHERE n * 100 >= 75 * (SELECT max(n) FROM h))
 SELECT CAST(min(p) - 1 AS INTEGER) AS first, count(*) AS width FROM b GROUP BY g HAVING count(*) >= 2""")
 def q_column_islands(t):
-    counts = L.white_columns(t("documents"), "text", 40)  # 40 rows at most
+    counts = L.white_columns(t("documents"), "text", 40, " ")  # 40 rows at most
     frequent = counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("most")))).where("n * 100 >= 75 * most")
     runs = frequent.withColumn("g", c("position") - F.row_number().over(W.orderBy("position")))
     return runs.groupBy("g").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("width")).where("width >= 2").select("first", "width")
