@@ -33,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.bytescan import BYTE_CODE, U, flat, mix
-from termloom.llm.common import NULL_ID, id_column, numbered, parts_for, small_batches, table, total_bytes, trim
+from termloom.llm.common import NULL_ID, numbered, parts_for, small_batches, table, total_bytes, trim
 
 WINDOW, GRAM = 100, 32
 LEFT = WINDOW - GRAM
@@ -502,9 +502,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 4, pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def bodies_of(docs: DataFrame, text_col: str = "text", *others: Column) -> DataFrame:
-    """(doc, body) of numbered documents, and ``others``."""
-    return docs.select(F.col("__tl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), *others)
+def bodies_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc, body) of numbered documents."""
+    return docs.select(F.col("__tl_doc").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -537,7 +537,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    keyed, _ = numbered(docs, "doc_id", "text")
-    spans = repeated_spans(bodies_of(keyed), total_bytes(docs, "text"))
-    bodies = bodies_of(keyed, "text", id_column("doc_id").alias("id"))
-    return bodies.join(spans, "doc", "left").select("id", "body", "starts", "ends").mapInArrow(_digests, DIGEST)
+    keyed, ids = numbered(docs, "doc_id", "text")
+    bodies = bodies_of(keyed)
+    spans = repeated_spans(bodies, total_bytes(docs, "text"))
+    out = bodies.join(spans, "doc", "left").select("doc", "body", "starts", "ends").mapInArrow(_digests, DIGEST)
+    if ids is None:
+        return out
+    back = ids.select(F.col("__tl_doc").alias("doc_id"), F.nullif(F.col("id"), F.lit(NULL_ID)).alias("id"))
+    return out.join(back, "doc_id").select(F.col("id").alias("doc_id"), *out.columns[1:])
