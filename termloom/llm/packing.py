@@ -3,8 +3,8 @@
 Pieces differ only in their length, and there are at most ``SIZE`` lengths.  So
 the plan is made from the number of pieces of each length (a table of bounded
 size): the longest length left takes, as often as the counts allow, a single
-length, a pair or a triple that fills its gap exactly; what finds none is placed
-best-fit.  A plan is a list of patterns with multiplicities.  Then each piece
+length, a pair or a triple that fills its gap exactly; what finds none, and a
+share kept back for it, is placed best-fit.  A plan is a list of patterns with multiplicities.  Then each piece
 gets its rank among those of its length and reads its place off the plan.
 
 Documents over ``SIZE`` tokens are cut into ``SIZE``-token pieces, the first of
@@ -18,6 +18,7 @@ columns are left out.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from array import array
@@ -34,6 +35,8 @@ from termloom.llm.bpe import SETTLED, byte_symbols, tokenizer_path
 from termloom.llm.common import small_batches, table, written
 
 SIZE, END = 1024, 2
+#: shares of each length that exact combinations leave to best-fit
+RESERVES = (0.5, 0.25, 0.0)
 #: pieces of one length are ranked in at least so many parts, of about so many pieces
 SALTS, SALT_ROWS = 32, 65_536
 _END = array("I", [END]).tobytes()
@@ -100,20 +103,20 @@ def _cut(path: str):
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used, for so many pieces of each length.
 
-    Few pieces are better kept for best-fit than spent on long combinations, so
-    combinations of up to one, two and three lengths are tried and the plan with
-    the fewest sequences is taken.
+    Combinations that take all pieces of the short lengths leave the last long ones
+    without fillers, so a share of each length is kept back for best-fit.  Which
+    share leaves the fewest sequences depends on the lengths; the best of RESERVES is taken.
     """
-    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda p: sum(k for _, k in p))
+    return min((_plan(counts, size, r) for r in RESERVES), key=lambda p: sum(k for _, k in p))
 
 
-def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """A plan whose gaps are filled exactly by at most ``most`` lengths before the rest is placed best-fit."""
-    left = np.zeros(size + 1, np.int64)
+def _plan(counts: dict[int, int], size: int, reserve: float) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose gaps are filled exactly by one, two or three lengths, but for ``reserve`` of the pieces of each length, before the rest is placed best-fit."""
+    left, kept = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     for k, v in counts.items():
-        left[k] = v
+        kept[k] = math.ceil(reserve * v) if k < size else 0
+        left[k] = v - kept[k]
     out: list[tuple[tuple[int, ...], int]] = []
-    rest: dict[int, int] = {}
 
     def use(*parts: int) -> None:
         need: dict[int, int] = defaultdict(int)
@@ -131,13 +134,13 @@ def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int,
         gap = size - a
         if left[a] and gap <= a:
             use(a, gap)
-        if left[a] and most > 1:
+        if left[a]:
             for b in range(min(a, gap - 1), (gap - 1) // 2, -1):
                 if left[b] and left[gap - b]:
                     use(a, b, gap - b)
                     if not left[a]:
                         break
-        if left[a] and most > 2 and 3 * a >= gap:
+        if left[a] and 3 * a >= gap:
             for b in range(min(a, gap - 2), (gap + 2) // 3 - 1, -1):
                 if not left[b]:
                     continue
@@ -149,10 +152,9 @@ def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int,
                         break
                 if not left[a]:
                     break
-        if left[a]:
-            rest[a], left[a] = int(left[a]), 0
     bins: dict[int, list[list]] = defaultdict(list)
-    for a, n in rest.items():
+    for a in range(size - 1, 0, -1):
+        n = int(left[a] + kept[a])
         while n:
             room = next((r for r in range(a, size) if bins.get(r)), None)
             if room is None:

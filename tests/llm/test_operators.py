@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ from array import array
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from termloom.llm import near_dedup, packing, quality, suffix_dedup, toxicity
+from termloom.llm import near_dedup, packing, quality, suffix_dedup, topk, toxicity
 from termloom.llm.bpe import ForcedBoundaryBpe, tokenizer_path
 from termloom.llm.html_text import Page
 from termloom.llm.queries import ORACLE_SQL, QUERIES
@@ -173,15 +174,78 @@ def test_quality(spark, sf):
 
 
 def test_votes_are_weighed():
-    """Low documents that one or two rules tell from the rest are found; abstentions say nothing."""
+    """Low documents that a rule tells along with others are found, also where it is the only one to say so; abstentions say nothing."""
     n = len(quality.RULES)
     key = lambda **votes: sum(votes.get(f"r{i}", quality.GOOD) * 3 ** (n - 1 - i) for i in range(n))
-    low = [key(r0=0), key(r1=0), key(r0=0, r1=0), key(r4=0), key(r1=0, r4=0, r5=1)]
+    low = [key(r0=0, r4=0), key(r1=0, r4=0), key(r0=0, r1=0, r4=0), key(r4=0), key(r1=0, r4=0, r5=1)]
     clean = [key(), key(r1=1), key(r1=1, r2=1)]
     good = quality.fit({**dict.fromkeys(low, 250), clean[0]: 8000, clean[1]: 300, clean[2]: 200})
     assert all(good[k] < 0.5 for k in low) and all(good[k] > 0.9 for k in clean)
 
 
+def test_accuracies_are_estimated():
+    """Of two rules of equal standing the one that good documents often break is overruled, the other isn't."""
+    name = {rule[0]: i for i, rule in enumerate(quality.RULES)}
+    key = lambda **votes: sum((votes.get(r, quality.GOOD)) * 3 ** (len(name) - 1 - i) for r, i in name.items())
+    junk = {key(symbols=0, function_words=0): 300, key(symbols=0, plain_words=0, function_words=0): 200, key(function_words=0, letters=0): 200}
+    counts = {key(): 8000, key(lines=0): 900, key(lines=0, repeats=1): 300, **junk}
+    good, rates = quality.estimated(counts)
+    assert good[key(lines=0)] > 0.9 and good[key(lines=0, repeats=1)] > 0.9
+    assert all(good[k] < 0.5 for k in junk)
+    assert rates[0][name["lines"]] > 0.1 > 10 * rates[0][name["symbols"]] and rates[1][name["function_words"]] > 0.8
+
+
+def test_posterior_is_not_all_must_pass(spark, tmp_path):
+    """Whole texts: a low vote on repeated lines is outweighed by the other rules, one on symbols isn't."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "was"] if i % 3 == 0 else ["harbour", "window", "garden", "slowly", "letter", "winter"]) + ("." if i % 9 == 8 else "") for i in range(n)) + "."
+    clean = [prose(rng.randint(40, 120)) for _ in range(300)]
+    lined = [f"A line of licence.\n{prose(40)}\nA line of licence.\n{prose(30)}" for _ in range(60)]
+    junk = [" ".join(w + rng.choice(["###", "%%%", "&&&"]) for w in prose(60).split()) for _ in range(40)]
+    rows = list(enumerate([*clean, *lined, *junk]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_quality"](spark, str(tmp_path)).collect()}
+    assert all(got[i].n_dup_lines and not got[i].base_failed for i in range(300, 360))
+    assert [got[i].kept for i in range(400)] == [True] * 360 + [False] * 40
+
+
+def test_pivots_eliminate_and_lose_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.floor(1024 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(3000, 64))))
+    x[1000:1400] = x[1000]
+    ids = rng.permutation(3000)
+    sample = rng.permutation(3000)[:1000]
+    pivots = topk.Pivots(x[sample])
+    places, offsets = pivots.table(x)
+    bound, inner = places @ places.T + offsets[:, None] + offsets, x @ x.T
+    assert (bound > inner - 1e-3).all()
+    block = lambda own: topk.Block(*topk.Block.packed(ids[own], x[own], pivots), 64)
+    q, every = block(ids % 100 == 0), block(ids >= 0)
+    least = topk.first_scores(ids[sample], x[sample], q.ids, q.x, topk.K)
+    place, seen = {int(d): i for i, d in enumerate(ids)}, 0
+    for own, (found, score, n) in zip(q.ids, topk.best_of_block(q, every, least)):
+        i = place[int(own)]
+        want = sorted((-int(s), int(d)) for s, d in zip(inner[i], ids) if d != own)[: topk.K]
+        assert [(-int(s), int(d)) for s, d in zip(score, found)] == want
+        seen += n
+    assert seen < 0.3 * 3000 * len(q.ids)
+
+
+def test_topk_of_odd_rows(spark):
+    """A query row that occurs twice gets its rows twice, one id with two vectors is two queries, huge components are exact."""
+    rows = [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (200, [1.0, 0.0]), (200, [0.0, -1.0]), *[(i, [float(i % 7), float(i % 5)]) for i in range(1, 40)], (7, [0.0, 2.0]), (300, [1e30, 1.0, 3.0]), (301, [1e30, 1.0, 2.0]), (302, [-1e30, 1.0, 2.0]), (303, [0.0, 1.0, 5e15])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    floors = [(d, [math.floor(1024 * c) for c in v]) for d, v in rows]
+    want = collections.Counter()
+    for d, q in floors:
+        if d % 100 == 0:
+            own = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v)))), n) for n, v in floors if n != d and len(v) == len(q))
+            want.update((d, k + 1, n, -s) for k, (s, n) in enumerate(own[: topk.K]))
+    assert collections.Counter(tuple(r) for r in got) == want
+
+
 def test_bpe_and_packing(spark, sf):
     from tokenizers import Tokenizer
 
@@ -231,6 +295,23 @@ def test_forced_boundaries_against_the_library():
         assert own.encode(t) == (array("I", ids).tobytes(), library.decode(ids, skip_special_tokens=False).encode())
 
 
+def test_plan_uses_pairs_and_triples():
+    rng = random.Random(12)
+    counts = collections.Counter(min(1023, max(1, int(rng.lognormvariate(5.5, 1)))) for _ in range(20_000))
+    plan = packing.plan(counts)
+    used = collections.Counter()
+    for parts, times in plan:
+        assert sum(parts) <= packing.SIZE
+        for p in parts:
+            used[p] += times
+    assert used == counts
+    full = collections.Counter()
+    for parts, times in plan:
+        full[len(parts)] += times * (sum(parts) == packing.SIZE)
+    bound = -(-sum(a * b for a, b in counts.items()) // packing.SIZE)
+    assert full[2] > 100 and full[3] > 100 and full[4] > 10 and sum(k for _, k in plan) <= 1.002 * bound
+
+
 def test_plan_fills_exactly():
     for counts in ({600: 10, 424: 10}, {500: 6, 300: 3, 224: 3}, {400: 4, 300: 4, 200: 4, 124: 4}):
         plan = packing.plan(counts)
