@@ -118,9 +118,9 @@ def scores_of(x: np.ndarray, q: np.ndarray, most_x: float, most_q: float) -> np.
 
 
 def first_scores(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """A score that k of the sampled candidates reach, for each query; the least there is without k of them."""
+    """A score that k of the sampled candidates reach, for each query; minus infinity without k of them."""
     most_x, most_q = np.abs(x).max(initial=0), np.abs(q).max(initial=0)
-    out = np.full(len(q), -LONG, np.int64)
+    out = np.full(len(q), -np.inf)
     for i in range(len(q)):
         own = scores_of(x, q[i], most_x, most_q)[ids != q_ids[i]]
         if len(own) >= k:
@@ -136,6 +136,7 @@ def best_of_block(q: Block, x: Block, least: np.ndarray, k: int = K) -> Iterator
         for a in range(0, len(q.ids), 256):
             bounds = (q.rows[a : a + 256] @ x.rows.T).astype(np.float64) + q.offsets[a : a + 256, None] + x.offsets + slack
             np.copyto(bounds, np.inf, where=~np.isfinite(bounds))
+            np.maximum(bounds, -LONG, out=bounds)  # as scores are clipped
             for i, bound in enumerate(bounds, a):
                 at = np.flatnonzero((bound >= least[i]) & (x.ids != q.ids[i]))
                 at = at[np.argsort(-bound[at], kind="stable")]
