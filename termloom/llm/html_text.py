@@ -3,25 +3,32 @@
 A token is an element with its path (tags, classes and ids from the root).  Its
 occurrence vector says how often each page of a host has it; the vectors are
 kept as mergeable fingerprints, so pages of a host never meet in one task.
-Tokens of a host with equal vectors form a class, and a class that spans enough
-of the host's pages is part of the template.  The template's elements nest; the
-slots between them hold the data.  Of the template's elements, and of frequent
-others after them, those that can hold an article are ranked: by what their tag
-or name says, by class, by the text in their slots.  A page gives the slots of
-all its elements that rank as high as the first of these that it has, in page
-order; a host seen too little, or a page without any of them, is judged by the
-page alone, and one without any named holder gives all its blocks.  Menus, headers, footers, sidebars, notices,
-adverts, forms and comments inside are left out; texts that recur beside differing
-texts on most of a host's distinct pages are, too, unless the element is marked as
-the article or nothing would be left.  An element that is left out for its class or
-id alone stays if it holds the article (see ``Page``).
+Tokens of a host with equal vectors form a class; a class of several tokens that
+spans enough pages and hangs together from the root down is valid, and the valid
+classes nest into the host's template.  Each page layout of a host has
+classes of its own, as its tokens occur on its pages alone.  The template's
+containers hold slots; the slot that holds most of the prose (text outside
+links) of the pages that have it, as deep as it may be, is the article's, together with what
+only adds headings to it.  An element that is marked as the article (``article``, ``main`` and
+the like) is preferred to it if it holds a fair share of the prose.  What stands
+in that slot is the page's text, without texts that recur beside differing texts on
+most of a host's distinct pages, lists of links, and what is left out below.
+
+A host seen too little for a template, or a page without any of its slots, is judged by the
+page alone: the elements are ranked by what their tag or name says and by their
+text, and the slots of all that rank highest are taken; without any named holder all
+blocks are.  Menus, headers, footers, sidebars, notices, adverts, forms and comments inside
+are left out by tag, role, class and id.  An element that is left out for its class or id
+alone stays if it holds the article (see ``Page``), and if the template says so.
 
 Templates are joined to pages by broadcast up to ``BROADCAST_HOSTS`` hosts and
-``BROADCAST_TEXTS`` recurring texts, and beyond that by a join on host and salt.
-A host's recurring texts are at most 1 / SPAN times those of a page of it.
+``BROADCAST_TEXTS`` slots and recurring texts, and beyond that by a join on host and salt.
+A host's template has at most 1 / SPAN times the tokens of a page of it, its
+recurring texts are at most 1 / TEXT_SPAN times those of a page.
 
 Results for odd input: null and empty html give an empty text; a null url has
-the empty host; unclosed and stray tags are mended as browsers do; repeated rows
+the empty host; unclosed and stray tags are mended as browsers do; elements
+deeper than DEEPEST are part of the one around them; repeated rows
 get a result each; an empty table gives no rows; other columns are left out.
 """
 
@@ -64,9 +71,16 @@ HOLDER_NAMES = re.compile(r"(?<!\S)(?:content|article|post|entry|story|body|text
 MARKED, MAIN, NAMED_SO, PLAIN = 3, 2, 1, 0
 #: in a NAMED element: it holds the main element or the article's body; around an element: what is left out anyway
 SURE, HARD = 4, -2
-#: pages that a host must show for a template, and the share of them that a class must span
-LEAST_PAGES, SPAN = 4, 0.5
-HOLDERS_KEPT, BROADCAST_HOSTS, BROADCAST_TEXTS, SALTS = 16, 20_000, 1_000_000, 32
+#: pages that a host must show for a template, the share of them that a class must span, and the share on which a recurring text stands
+LEAST_PAGES, SPAN, TEXT_SPAN = 4, 0.05, 0.5
+#: shares of the prose of its pages that the article's slot holds, and that an element marked as the article holds; what a parent may add besides headings
+DOMINANT, MARKED_SHARE, ADDED = 0.5, 0.2, 0.05
+BROADCAST_HOSTS, BROADCAST_TEXTS, SALTS = 20_000, 1_000_000, 32
+#: levels of elements, as in browsers
+DEEPEST = 512
+#: elements that hold others' slots
+CONTAINERS = {"body", "div", "section", "article", "main", "center", "td", "table", "tbody", "tr", "fieldset", "details"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: longest other texts that tell whether a text recurs beside the same article
 BESIDE = 2
 
@@ -84,9 +98,11 @@ class Page:
     holder and most of the text; and for all of them if no text is left.
     """
 
-    def __init__(self, source: str):
-        self._read(source, frozenset())
-        if self.lost:
+    def __init__(self, source: str, bare: bool = False):
+        """``bare``: no element is left out for its class or id, but for discussions."""
+        self.bare = bare
+        self._read(source, None if bare else frozenset())
+        if self.lost and not bare:
             spared = self._spared()
             if spared:
                 self._read(source, spared)
@@ -123,22 +139,35 @@ class Page:
         self.ranks: list[int] = []
         self.counts: dict[int, int] = {}
         self.texts: list[tuple[str, tuple[int, ...]]] = []
+        #: of each text: characters in links, and whether it is a heading; of each element: whether it is NAMED, its tag and the key around it
+        self.linked: list[int] = []
+        self.headed: list[bool] = []
+        self.named: list[bool] = []
+        self.tags: list[str] = []
+        self.parents: list[int] = []
         self.mass: dict[int, int] = {}
         stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, -1)]  # the last: the NAMED element around, HARD in what is left out anyway
+        opened: dict[str, int] = {}
         around: list[int] = []
         piece: list[str] = []
+        links = 0
 
         def flush() -> None:
+            nonlocal links
             if piece:
                 text = " ".join(html.unescape("".join(piece)).split())
                 piece.clear()
                 if text:
                     self.texts.append((text, tuple(around)))
+                    self.linked.append(min(links, len(text)))
+                    self.headed.append(any(opened.get(h) for h in HEADINGS))
                     for e in around:
                         self.mass[e] = self.mass.get(e, 0) + len(text)
+                links = 0
 
         def close(n: int) -> None:
             for name, _, _, held, _ in stack[n:]:
+                opened[name] -= 1
                 if held:
                     around.pop()
             del stack[n:]
@@ -148,6 +177,8 @@ class Page:
             if text is not None:
                 if not stack[-1][2]:
                     piece.append(text)
+                    if opened.get("a"):
+                        links += len(" ".join(text.split()))
                 elif stack[-1][4] >= 0:
                     self.lost[stack[-1][4]] += len(" ".join(text.split()))
                 continue
@@ -157,7 +188,7 @@ class Page:
             if name in BLOCKS:
                 flush()
             if closing:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+                at = opened.get(name) and next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
                 if at:
                     close(at)
                 continue
@@ -196,17 +227,21 @@ class Page:
                     self.inside.append(PLAIN)
                     self.discussed.append(bool(DISCUSSION.search(label)) and not body)
                     within = len(self.lost) - 1
-                    aside = aside or spared is not None and m.start() not in spared
+                    aside = aside or (self.discussed[-1] if self.bare else spared is not None and m.start() not in spared)
                 if within >= 0:
                     found = SURE if body else MARKED if name == "article" and not named else NAMED_SO if HOLDER_NAMES.search(label) else PLAIN
                     self.inside[within] = max(self.inside[within], found)
-            held = name in BLOCKS and not aside
+            held = name in BLOCKS and not aside and len(around) < DEEPEST
             if held:
                 rank = MARKED if name == "article" or a.get("itemprop") == "articleBody" else MAIN if name == "main" or role == "main" else NAMED_SO if label.strip() and HOLDERS.search(label) else PLAIN
                 around.append(len(self.keys))
+                self.parents.append(self.keys[around[-2]] if len(around) > 1 else 0)
                 self.keys.append(key)
                 self.ranks.append(rank)
+                self.named.append(named)
+                self.tags.append(name)
             stack.append((name, key, aside, held, within))
+            opened[name] = opened.get(name, 0) + 1
         flush()
 
     def holders(self) -> dict[int, tuple[int, int]]:
@@ -217,6 +252,44 @@ class Page:
             out[self.keys[e]] = (max(rank, self.ranks[e]), had + n)
         return out
 
+    def slots(self) -> dict[int, list[int]]:
+        """For each container, by key: rank, key of the container around it, prose in it, prose that is no heading and in no container inside; and under key 0 the prose of the page."""
+        out: dict[int, list[int]] = {0: [PLAIN, 0, 0, 0]}
+        for e, key in enumerate(self.keys):
+            if self.tags[e] in CONTAINERS:
+                slot = out.setdefault(key, [PLAIN, 0, 0, 0])
+                slot[0] = max(slot[0], self.ranks[e])
+        for (text, around), linked, headed in zip(self.texts, self.linked, self.headed):
+            prose = len(text) - linked
+            within = [self.keys[e] for e in around if self.tags[e] in CONTAINERS]
+            out[0][2] += prose
+            for up, key in zip([0, *within], within):
+                out[key][1] = up
+            for key in dict.fromkeys(within):
+                out[key][2] += prose
+            if not headed:
+                out[within[-1] if within else 0][3] += prose
+        return out
+
+    def text_places(self) -> dict[int, tuple[int, int]]:
+        """For each text, by hash: the key of the innermost container around it and its prose, of all its occurrences in one."""
+        out: dict[int, tuple[int, int]] = {}
+        for (text, around), linked in zip(self.texts, self.linked):
+            key = next((self.keys[e] for e in reversed(around) if self.tags[e] in CONTAINERS), 0)
+            h = text_hash(text)
+            out[h] = (key, out.get(h, (0, 0))[1] + len(text) - linked)
+        return out
+
+    def in_slot(self, key: int, constant: set[int]) -> str | None:
+        """The texts in the elements with this key, without NAMED elements inside, lists of links and recurring texts; None if there are none."""
+        held = []
+        for (text, around), linked in zip(self.texts, self.linked):
+            at = next((i for i, e in enumerate(around) if self.keys[e] == key), None)
+            if at is not None and not any(self.named[e] for e in around[at + 1 :]):
+                held.append((text, linked))
+        left = [t for t, linked in held if text_hash(t) not in constant and 3 * linked <= 2 * len(t)] or [t for t, _ in held]
+        return " ".join(left) if left else None
+
     def text(self, holders: list[int], constant: set[int]) -> str:
         own = self.holders()
         key = next((k for k in holders if k in own), None)
@@ -240,8 +313,24 @@ def text_hash(text: str) -> int:
     return zlib.crc32(text.encode()) | len(text) << 32
 
 
+def page_text(source: str, marked: list[int], slots: list[int], constant: set[int]) -> str:
+    """The page's text by its host's template: elements marked as the article, there or on the page, else the slots, else the page alone."""
+    page = Page(source)
+    own = page.holders()
+    prose = sum(len(t) for t, _ in page.texts)
+    if not slots or any(k in own for k in marked) or any(rank >= MAIN and n >= MARKED_SHARE * prose for rank, n in own.values()):
+        return page.text(marked, constant)
+    bare = Page(source, bare=True)
+    keys = set(bare.keys)
+    for key in slots:
+        if key in keys and (text := bare.in_slot(key, constant)) is not None:
+            return text
+    return page.text([], constant)
+
+
 ROOT, ELEMENT, CONSTANT = 0, 1, 2
-STATISTICS = "host string, kind int, token long, beside long, pages long, vector long, mass long, rank int"
+SUMS = ("pages", "vector1", "vector2", "mass", "own", "total")
+STATISTICS = "host string, kind int, token long, beside long, parent long, rank int, container int, " + ", ".join(f"{c} long" for c in SUMS)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,23 +339,29 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         out = [(*k, *v) for k, v in seen.items()]
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), *[pa.int64()] * 5, pa.int32()))], ["host", "kind", "token", "beside", "pages", "vector", "mass", "rank"])
+        names = [field.split()[0] for field in STATISTICS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.int64()] * len(SUMS)))], names)
 
     for batch in batches:
-        for host, page_id, source in zip(*(c.to_pylist() for c in batch.columns)):
-            page = Page(source or "")
-            own = page.holders()
-            marked = any(r == MARKED for r, _ in own.values())
-            beside = page.beside()
-            tokens = [(ROOT, 0, hash(tuple(list(beside)[: BESIDE + 1])), 1, 0, 0), *((ELEMENT, k, 0, n, own.get(k, (0, 0))[1], own.get(k, (-1, 0))[0]) for k, n in page.counts.items())]
-            if not marked:
-                tokens += [(CONSTANT, h, other, 1, 0, 0) for h, other in beside.items()]
-            for kind, token, other, n, mass, rank in tokens:
-                x = seen.setdefault((host, kind, token, other), [0, 0, 0, -1])
-                x[0] += 1
-                x[1] ^= hash((page_id, n, 0x9E3779B9)) & (2**63 - 1)
-                x[2] += mass
-                x[3] = max(x[3], rank)
+        for host, source in zip(*(c.to_pylist() for c in batch.columns)):
+            page, bare = Page(source or ""), Page(source or "", bare=True)
+            own, slots = page.holders(), bare.slots()
+            content, beside, total = zlib.crc32((source or "").encode()), page.beside(), slots[0][2]
+            places = bare.text_places()
+            tokens = [(ROOT, 0, hash(tuple(list(beside)[: BESIDE + 1])), 0, PLAIN, 0, 1, 0, 0)]
+            for key, n in bare.counts.items():
+                rank, up, mass, direct = slots.get(key, (PLAIN, 0, 0, 0))
+                tokens.append((ELEMENT, key, 0, up, max(rank, own.get(key, (PLAIN, 0))[0]), int(key in slots), n, mass, direct))
+            if not any(r == MARKED for r, _ in own.values()):
+                for h, other in {**bare.beside(), **beside}.items():
+                    up, prose = places.get(h, (0, 0))
+                    tokens.append((CONSTANT, h, other, up, PLAIN, 0, 1, prose, 0))
+            for kind, token, other, up, rank, container, n, mass, direct in tokens:
+                x = seen.setdefault((host, kind, token, other, up), [rank, container, *[0] * len(SUMS)])
+                x[0], x[1] = max(x[0], rank), max(x[1], container)
+                vector = hash((content, n, 0x9E3779B9))
+                for i, v in enumerate((1, vector & 0x7FFFFFFF, vector >> 31 & 0x7FFFFFFF, mass, direct, total), 2):
+                    x[i] += v
         if len(seen) > 200_000:
             yield rows()
     if seen:
@@ -274,28 +369,95 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
+def chosen_slots(tokens: list[dict], recurring: list[dict], of: int) -> tuple[list[int], list[int]]:
+    """(elements marked as the article, article slots) of a host's template, the best and the innermost first.
+
+    From its frequent tokens; the recurring texts are part of the template and no data
+    of the slots that they stand in.  ``of`` is the number of the host's pages.
+    """
+    classes: dict[tuple, int] = {}
+    for t in tokens:
+        vector = t["pages"], t["vector1"], t["vector2"]
+        classes[vector] = classes.get(vector, 0) + 1
+    large = {t["token"]: t for t in tokens if classes[t["pages"], t["vector1"], t["vector2"]] > 1 or t["parent"] == 0}
+    inside = {k: t for k, t in large.items() if t["container"]}
+
+    def rooted(t: dict) -> bool:
+        """Whether the classes of all containers around are valid too."""
+        seen = set()
+        while t["parent"]:
+            if t["token"] in seen or t["parent"] not in inside:
+                return False
+            seen.add(t["token"])
+            t = inside[t["parent"]]
+        return True
+
+    template = {k: t for k, t in inside.items() if rooted(t)}
+    for k, t in template.items():
+        t["total"] -= min(t["total"], sum(r["mass"] * t["pages"] // of for r in recurring))
+    for r in recurring:
+        at, first = r["parent"], True
+        while at in template:
+            template[at]["mass"] -= min(template[at]["mass"], r["mass"])
+            template[at]["own"] -= min(template[at]["own"], r["mass"]) if first else 0
+            at, first = template[at]["parent"], False
+    share = {k: t["mass"] / max(1, t["total"]) for k, t in template.items()}
+    marked = sorted((k for k, t in template.items() if t["rank"] >= MAIN and share[k] >= MARKED_SHARE), key=lambda k: (-template[k]["rank"], -share[k], k))
+    dominant = {k for k in template if share[k] >= DOMINANT}
+    slots = []
+    for k in dominant - {template[k]["parent"] for k in dominant}:
+        top = k
+        while (up := template[top]["parent"]) in template and template[up]["parent"]:
+            heads = template[up]["mass"] - template[k]["mass"] if _only_headings(up, top, template) else None
+            if heads is None or template[up]["own"] > ADDED * template[k]["mass"]:
+                break
+            top = up
+        slots.append(top)
+    return marked, sorted(set(slots), key=lambda k: (-_depth(k, template), -share[k], k))
+
+
+def _depth(key: int, template: dict[int, dict]) -> int:
+    n = 0
+    while (key := template[key]["parent"]) in template:
+        n += 1
+    return n
+
+
+def _only_headings(up: int, child: int, template: dict[int, dict]) -> bool:
+    """Whether a container's other containers hold hardly any prose."""
+    others = sum(t["mass"] for k, t in template.items() if t["parent"] == up and k != child)
+    return others <= ADDED * template[child]["mass"] and template[child]["pages"] >= template[up]["pages"] * (1 - ADDED)
+
+
+def _template(t: pa.Table) -> pa.Table:
+    rows = t.to_pylist()
+    marked, slots = chosen_slots([r for r in rows if r["kind"] == ELEMENT], [r for r in rows if r["kind"] == CONSTANT], rows[0]["of"])
+    return pa.table([t.column("host").slice(0, 1), pa.array([marked], pa.list_(pa.int64())), pa.array([slots], pa.list_(pa.int64()))], names=["host", "marked", "slots"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, holders, constant) for each host with a template, from pages (host, page_id, html)."""
-    sums = [F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("mass").alias("mass"), F.max("rank").alias("rank")]
-    found = pages.mapInArrow(_statistics, STATISTICS).groupBy("host", "kind", "token", "beside").agg(*sums)
-    found = found.groupBy("host", "kind", "token").agg(F.count(F.lit(1)).alias("differing"), *sums)
+    """(host, marked, slots, constant) for each host with a template, from pages (host, html)."""
+    sums = [F.sum(c).alias(c) for c in SUMS]
+    most = [F.max("rank").alias("rank"), F.max("container").alias("container")]
+    # an element that stands in no text has no parent here; the parent is a matter of the path else
+    found = pages.mapInArrow(_statistics, STATISTICS).groupBy("host", "kind", "token", "beside").agg(F.max("parent").alias("parent"), *most, *sums)
+    found = found.groupBy("host", "kind", "token").agg(F.count(F.lit(1)).alias("differing"), F.max("parent").alias("parent"), *most, *sums)
     found = written(found.where("pages > 1"), "page-tokens")
     hosts = found.where(F.col("kind") == ROOT).where(F.col("pages") >= LEAST_PAGES).select("host", F.col("pages").alias("of"), F.col("differing").alias("of_differing"))
-    frequent = found.join(hosts, "host").where(F.col("pages") >= SPAN * F.col("of"))  # at most 1 / SPAN times the tokens of a page for each host
-    classes = frequent.where(F.col("kind") == ELEMENT).groupBy("host", "pages", "vector").agg(F.count(F.lit(1)).alias("members"))
-    holder = F.struct(F.col("rank").alias("rank"), (F.col("members") > 1).alias("in_class"), F.col("mass").alias("mass"), F.col("token").alias("token"))
-    holders = frequent.where((F.col("kind") == ELEMENT) & (F.col("rank") > PLAIN)).join(classes, ["host", "pages", "vector"]).groupBy("host").agg(F.slice(F.sort_array(F.collect_list(holder), False), 1, HOLDERS_KEPT)["token"].alias("holders"))
-    recurring = found.join(hosts, "host").where((F.col("kind") == CONSTANT) & (F.col("of_differing") >= LEAST_PAGES) & (F.col("differing") >= SPAN * F.col("of_differing")))
+    frequent = found.join(hosts, "host").where((F.col("kind") == ELEMENT) & (F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), SPAN * F.col("of"))))
+    recurring = found.join(hosts, "host").where((F.col("kind") == CONSTANT) & (F.col("of_differing") >= LEAST_PAGES) & (F.col("differing") >= TEXT_SPAN * F.col("of_differing")))
+    both = frequent.unionByName(recurring)  # of a host at most 1 / SPAN times the tokens of a page of it and 1 / TEXT_SPAN times its texts
+    chosen = both.select("host", "kind", "token", "parent", "rank", "container", "of", *SUMS).groupBy("host").applyInArrow(_template, "host string, marked array<long>, slots array<long>")
     constant = recurring.groupBy("host").agg(F.collect_list("token").alias("constant"))
-    return hosts.select("host").join(holders, "host", "left").join(constant, "host", "left")
+    return hosts.select("host").join(chosen, "host", "left").join(constant, "host", "left")
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.coalesce(host_and_path(F.col(url_col))[0], F.lit("")).alias("host"), F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"), F.col(url_col).cast("string").alias("url"))
-    known = written(templates(rows.select("host", "page_id", "html")), "templates")
-    size = known.agg(F.count(F.lit(1)).alias("hosts"), F.coalesce(F.sum(F.greatest(F.size("constant"), F.lit(0))), F.lit(0)).alias("texts")).first()
+    known = written(templates(rows.select("host", "html")), "templates")
+    size = known.agg(F.count(F.lit(1)).alias("hosts"), F.coalesce(F.sum(sum(F.greatest(F.size(c), F.lit(0)) for c in ("marked", "slots", "constant"))), F.lit(0)).alias("texts")).first()
     if size["hosts"] <= BROADCAST_HOSTS and size["texts"] <= BROADCAST_TEXTS:
         met = rows.join(F.broadcast(known), "host", "left")  # its size was checked
     else:
@@ -305,11 +467,11 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(source or "").text(holders or [], set(constant or ())) for source, holders, constant in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            texts = [page_text(source or "", marked or [], slots or [], set(constant or ())) for source, marked, slots, constant in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
         trim()
 
-    return met.select("page_id", "url", "html", "holders", "constant").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return met.select("page_id", "url", "html", "marked", "slots", "constant").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """What the operators once left out, against brute force."""
 
+import collections
 import hashlib
 import random
+import re
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -99,3 +101,83 @@ def test_telling_names_around_the_article():
     assert text("<body><div class=content>one</div><div class=menu><p>a menu with much more text</p></div></body>") == "one"
     assert text("<body><div class=content>one<div class=comments><div class=text>a comment with much more text</div></div></div></body>") == "one"
     assert text("<body><div class=content>one<span class=share>share it</span> two</div></body>") == "one two"
+
+
+def story(rng, k):
+    return " ".join(f"{rng.choice(['window', 'harbour', 'letter', 'winter', 'garden'])}{k}" for _ in range(40))
+
+
+def test_template_finds_the_slot_without_names(spark):
+    """No element says what it is; what the pages of a host share and where their prose stands decide."""
+    rng = random.Random(13)
+    bar = lambda k: "<div class=c1>" + "".join(f"<a href=/{i}>word {rng.randrange(10**6)}</a> " for i in range(30)) + "</div>"
+    side = lambda: f"<div class=c2><p>{rng.choice('abcdef')} short offer {rng.randrange(10**6)}</p></div>"
+    pages, want = [], []
+    for k in range(12):  # one layout; on some pages the offer is longer than the story
+        long = side() if k % 4 else "<div class=c2><p>" + story(rng, 'x') + " " + story(rng, 'y') + "</p></div>"
+        pages.append(("one.org", f"<body>{bar(k)}{long}<div class=c3><h2>title {k}</h2><div class=c4><p>{story(rng, k)}</p><p>{story(rng, k)}</p></div></div><div class=c5>all rights {rng.randrange(10**6)}</div></body>"))
+        want.append(pages[-1][1].split("<div class=c3>")[1].split("<div class=c5>")[0])
+    for k in range(15):  # three layouts of one host
+        body = f"<p>{story(rng, k)}</p><p>{story(rng, k)}</p>"
+        kind = k % 3
+        pages.append(("many.org", [f"<body>{bar(k)}<div class=a1>{body}</div>{side()}</body>", f"<body><section class=s1>{side()}</section><section class=s2>{body}</section></body>", f"<body><table><tr><td class=t1>{bar(k)}</td><td class=t2>{body}</td></tr></table></body>"][kind]))
+        want.append(body)
+    got = extracted_texts(spark, pages)
+    plain = lambda source: " ".join(re.sub(r"<[^>]*>", " ", source).split())
+    assert [got[i] for i in range(len(want))] == [plain(w) for w in want]
+    alone = [html_text.Page(source).text([], set()) for _, source in pages]
+    assert sum(a != plain(w) for a, w in zip(alone, want)) > 20
+
+
+def test_classes_against_brute_force(spark):
+    """The template's containers are those whose occurrences on all pages equal another element's, up to the root."""
+    rng = random.Random(14)
+    pages = []
+    for k in range(9):
+        parts = [f"<div class=d{i}>" + f"<p>{story(rng, k)}</p>" * rng.choice([1, 1, 2]) + "</div>" for i in range(4) if rng.random() < 0.7]
+        pages.append("<body><div class=top><span>x</span></div>" + "".join(parts) + "</body>")
+    vectors, mass, total = collections.defaultdict(list), collections.Counter(), collections.Counter()
+    for source in pages:
+        page = html_text.Page(source, bare=True)
+        prose = sum(len(t) - n for (t, _), n in zip(page.texts, page.linked))
+        for i, key in enumerate(page.keys):
+            if page.tags[i] in html_text.CONTAINERS:
+                mass[key] += sum(len(t) for t, around in page.texts if i in around)
+        for key in page.counts:
+            total[key] += prose
+    every = set().union(*(html_text.Page(p, bare=True).counts for p in pages))
+    for source in pages:
+        counts = html_text.Page(source, bare=True).counts
+        for key in every:
+            vectors[key].append(counts.get(key, 0))
+    size = collections.Counter(tuple(v) for v in vectors.values())
+    df = spark.createDataFrame([("h", p) for p in [*pages, pages[0]]], "host string, html string")
+    batches = df.toArrow().to_batches()
+    rows = collections.defaultdict(lambda: collections.Counter())
+    for batch in html_text._statistics(iter(batches)):
+        for r in batch.to_pylist():
+            if r["kind"] == html_text.ELEMENT:
+                rows[r["token"]].update({c: r[c] for c in html_text.SUMS})
+    assert set(rows) == every
+    found = collections.Counter((r["pages"], r["vector1"], r["vector2"]) for r in rows.values())
+    for key, r in rows.items():
+        assert found[r["pages"], r["vector1"], r["vector2"]] == size[tuple(vectors[key])]
+        first = vectors[key][0] > 0
+        assert r["pages"] == sum(n > 0 for n in vectors[key]) + first
+    first = html_text.Page(pages[0], bare=True)
+    for key, n in mass.items():
+        again = sum(len(t) for i, k in enumerate(first.keys) if k == key for t, around in first.texts if i in around)
+        assert rows[key]["mass"] == n + again
+
+
+def test_repeated_and_long_pages(spark):
+    rng = random.Random(15)
+    page = lambda k: f"<body><div class=c1><a href=/>go</a> offer {k}</div><div class=c3><p>{story(rng, k)}</p></div></body>"
+    once = [("r.org", page(k)) for k in range(6)]
+    twice = [(f"twice.{h}", p) for h, p in once] * 2
+    paragraphs = [f"{i} {story(rng, i)}" for i in range(8000)]
+    long = [("long.org", "<body><article>" + "".join(f"<p>{p}" for p in paragraphs) + "</article></body>"), ("deep.org", "<div>" * 5000 + "deep inside"), ("stray.org", "</b>" * 20000 + "<main>" + "<b>" * 3000 + "plain</main>")]
+    got = extracted_texts(spark, [*once, *twice, *long])
+    text = lambda p: p.split("<p>")[1].split("</p>")[0]
+    assert [got[i] for i in range(18)] == [text(p) for _, p in [*once, *twice]]
+    assert [got[18], got[19], got[20]] == [" ".join(paragraphs), "deep inside", "plain"]
