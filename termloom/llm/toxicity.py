@@ -1,18 +1,20 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie.
 
-The lexicon is learned from labelled documents: words, and beginnings of words
-(for languages that build compounds), that toxic documents have and others
+The lexicon is learned from labelled documents: words of any length, and beginnings of words
+(BEGINNINGS letters, for languages that build compounds), that toxic documents have and others
 hardly ever do.  A trie of the terms is intersected with the automata that accept
-all strings within one edit (two for long terms); the product is made
+all strings within as many edits as ``allowed`` says; the product is made
 deterministic as far as words lead into it, so a word costs one step a character
 and most die after a few.
 
 A hit counts as abuse or, if quotation marks or words of reporting stand in the
-window around it, as quotation.  A logistic regression turns the sums of a
+window around it, as quotation.  Exact and misspelled hits, and misspelled hits of
+short terms, are sums of their own, so that the regression judges what each is worth.
+A logistic regression turns the sums of a
 document into its score.  Lexicon and regression are fitted on at most
 ``FIT_ROWS`` labelled documents (those with the least hash of doc_id, of which
-``crc32(doc_id) mod 5`` is not 0), so what is broadcast and collected is bounded; every
-document is scored, whole.
+``crc32(doc_id) mod 5`` is not 0), which are read once; the lexicon holds every
+term of theirs that tells.  Every document is scored, whole.
 
 Results for odd input: null and empty texts get the score of a document without
 hits; a null doc_id is scored, comes back as null and counts as not held out;
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm.common import small_batches, table, trim
+from termloom.llm.common import small_batches, table, trim, written
 
 #: bound of the sample that lexicon and regression are fitted on
 FIT_ROWS = 20_000
-#: bound of the lexicon
-TERMS = 2_000
+#: letters of beginnings; a longer one is covered by its first twelve
+BEGINNINGS = range(4, 13)
 FOLDS = 5
 #: tokens before and after a hit that tell quotation from abuse
 CONTEXT = 6
@@ -57,6 +59,12 @@ def normal(token: str) -> str:
     return token.lower().strip(EDGE)
 
 
+def allowed(term: str) -> int:
+    """Edits to a term: none below four letters, one below nine, two from there on; one in a beginning of five letters or more."""
+    n = len(term.rstrip("*"))
+    return min(1, n // 5) if term.endswith("*") else 0 if n < 4 else 1 if n < 9 else 2
+
+
 class Lexicon:
     """A deterministic automaton for words within a few edits of the terms; ``term*`` stands for any word that begins so."""
 
@@ -68,7 +76,7 @@ class Lexicon:
         self.limit = [0]
         for term in sorted(weights):
             bare, node = term.rstrip("*"), 0
-            edits = 0 if term.endswith("*") or len(bare) < 5 else 1 if len(bare) < 9 else 2
+            edits = allowed(term)
             self.limit[0] = max(self.limit[0], edits)
             for c in bare:
                 if c not in self.child[node]:
@@ -93,9 +101,6 @@ class Lexicon:
         self.found: list[tuple[str, int] | None] = []
         self.start = self._state({(0, 0, "")})
 
-    def _allowed(self, term: str) -> int:
-        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
-
     def _state(self, items: set[tuple[int, int, str]]) -> int:
         """The number of a set of (node, edits, beginning met), with what a missing character leads to."""
         best: dict[tuple[int, str], int] = {}
@@ -107,14 +112,18 @@ class Lexicon:
             best[node, met] = e
             if node >= 0:
                 todo += [(n, e + 1, met) for n in self.child[node].values() if e < self.limit[n]]
+                begun = self.begins[node]
+                if begun and e <= allowed(begun):
+                    todo.append((REST, e, begun))
         key = tuple(sorted((n, e, m) for (n, m), e in best.items()))
         if key not in self.states:
-            hits = [(e, t) for n, e, _ in key if n >= 0 and (t := self.ends[n]) and e <= self._allowed(t)]
-            met = [m for _, _, m in key if m]
+            hits = [(e, 0, t) for n, e, _ in key if n >= 0 and (t := self.ends[n]) and e <= allowed(t)]
+            hits += [(e, -len(m), m) for n, e, m in key if n == REST]
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            self.found.append((min(hits)[1], min(hits)[0]) if hits else (max(met, key=len), 0) if met else None)
+            nearest = min(hits, key=lambda h: (h[0], h[1] < 0, h[1], h[2])) if hits else None
+            self.found.append((nearest[2], nearest[0]) if nearest else None)
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -126,8 +135,6 @@ class Lexicon:
             n = self.child[node].get(c)
             if n is not None:
                 after.add((n, e, met))
-                if self.begins[n] and not e:
-                    after.add((REST, 0, self.begins[n]))
             if e < self.limit[node]:
                 after.add((node, e + 1, met))
                 after.update((m, e + 1, met) for k, m in self.child[node].items() if k != c and e < self.limit[m])
@@ -151,8 +158,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pos, neg = Counter(), Counter()
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = {w for t in set(text.split()) if 3 < len(w := normal(t)) <= 40}
-            (pos if y > 0 else neg).update(words | {w[:k] + "*" for w in words for k in range(4, min(len(w), 13))} | {""})
+            words = {w for t in set(text.split()) if (w := normal(t))}
+            (pos if y > 0 else neg).update(words | {w[:k] + "*" for w in words for k in BEGINNINGS if k < len(w)} | {""})
     terms = list({**pos, **neg})
     if terms:
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], ["term", "pos", "neg"])
@@ -164,21 +171,21 @@ def learned_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) ->
     longer: dict[str, int] = Counter()
     for t, p in support.items():
         bare = t.rstrip("*")
-        for shorter in ({bare[:-1] + "*"} if t.endswith("*") else {bare[:k] + "*" for k in (len(bare) - 1, len(bare))}):
+        for shorter in ({bare[:-1] + "*"} if t.endswith("*") else {bare[:k] + "*" for k in (len(bare) - 1, len(bare), BEGINNINGS[-1])}):
             longer[shorter] = max(longer[shorter], p)
     counts = [x for x in counts if not x[0].endswith("*") or 10 * longer[x[0]] < 7 * x[1]]
     scored = {t: (math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1)), p) for t, p, n in counts}
     out: dict[str, float] = {}
     for t in sorted(scored, key=lambda t: (-scored[t][0] * math.log1p(scored[t][1]), t)):
         bare = t.rstrip("*")
-        if not any(bare[:k] + "*" in out for k in range(4, len(bare) + 1)):
+        if not any(bare[:k] + "*" in out for k in BEGINNINGS if k <= len(bare)):
             out[t] = scored[t][0]
-        if len(out) == TERMS:
-            break
     return out
 
 
-N_FEATURES = 7
+N_FEATURES = 9
+#: misspelled hits of terms up to so many letters are a sum of their own
+SHORT = 4
 
 
 class Scorer:
@@ -188,7 +195,7 @@ class Scorer:
 
     def hit(self, token: str) -> tuple[str, int] | None:
         word = normal(token)
-        found = self.memo[token] = self.lexicon.match(word) if len(word) > 3 else None
+        found = self.memo[token] = self.lexicon.match(word) if word else None
         return found
 
     def features(self, text: str) -> list[float]:
@@ -196,22 +203,26 @@ class Scorer:
         memo, terms = self.memo, set()
         if len(memo) >= MEMO:  # between texts only: below, all tokens of this one are in it
             memo.clear()
-        abuse = quoted = fuzzy = most = 0.0
+        abuse = quoted = fuzzy = near = short = most = 0.0
         for t in set(tokens).difference(memo):
             self.hit(t)
         hits = [i for i, t in enumerate(tokens) if memo[t]]
         for i in hits:
             term, edits = memo[tokens[i]]
             w = self.lexicon.weights[term] * 0.6**edits
+            if edits and len(term) <= SHORT:
+                short += w
+                continue
             around = tokens[max(0, i - CONTEXT) : i + CONTEXT + 1]
             if sum(any(q in t for q in QUOTES) for t in around) >= 2 or any(normal(t) in REPORTING for t in around):
                 quoted += w
             else:
                 abuse += w
                 most = max(most, w)
+            near += w * (edits > 0)
             fuzzy += edits > 0
             terms.add(term)
-        return [math.log1p(abuse), math.log1p(quoted), math.log1p(fuzzy), math.log1p(len(terms)), most, math.sqrt(abuse / (len(tokens) + 20)), math.log1p(len(tokens))]
+        return [math.log1p(abuse), math.log1p(quoted), math.log1p(fuzzy), math.log1p(near), math.log1p(short), math.log1p(len(terms)), most, math.sqrt(abuse / (len(tokens) + 20)), math.log1p(len(tokens))]
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,14 +248,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(weights, regression) from at most FIT_ROWS labelled documents of the learning folds, or None."""
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("__tl_id"), F.col(label_col).alias("__tl_y")).where(F.col("__tl_y").isNotNull() & (fold("__tl_id") != 0)).dropDuplicates(["__tl_id"]).orderBy(F.xxhash64("__tl_id"), "__tl_id").limit(FIT_ROWS)
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__tl_id")).select(F.coalesce(docs[text_col], F.lit("")).alias("t"), F.col("__tl_y").cast("int").alias("y"))  # at most FIT_ROWS rows
+    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__tl_id")).select("__tl_id", F.coalesce(docs[text_col], F.lit("")).alias("t"), F.col("__tl_y").cast("int").alias("y"))
+    sample = written(sample.groupBy("__tl_id", "y").agg(F.min("t").alias("t")).select("t", "y"), "labelled")  # one row for each of at most FIT_ROWS ids
     counts = sample.mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = written(counts.where((F.col("term") == "") | (F.col("pos") >= 4)), "terms")
     total = counts.where("term = ''").first()
     if not total or not total["pos"] or not total["neg"]:
         return None
-    # of each 20 documents with a term at least 13 are toxic; at most 20 * TERMS rows
+    # of each 20 documents with a term at least 13 are toxic, and of 300 toxic documents one at least has it
     telling = counts.where(F.col("term") != "").where((F.col("pos") >= max(4, total["pos"] // 300)) & (F.col("pos") * 20 >= (F.col("pos") + F.col("neg")) * 13))
-    weights = learned_terms([tuple(r) for r in telling.orderBy(F.desc("pos"), "neg", "term").limit(20 * TERMS).collect()], total["pos"], total["neg"])
+    weights = learned_terms([tuple(r) for r in telling.orderBy(F.desc("pos"), "neg", "term").collect()], total["pos"], total["neg"])
     if not weights:
         return None
 

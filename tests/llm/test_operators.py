@@ -398,11 +398,15 @@ def test_automata_accept_what_edit_distance_says():
             i = random.randrange(len(w) + 1)
             w[i : i + random.randint(0, 1)] = random.choice(["", "s", "t", "x"])
         w = "".join(w)
-        near = {t: distance(w, t) for t in terms if distance(w, t) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)}
+        near = {t: distance(w, t) for t in terms if distance(w, t) <= (0 if len(t) < 4 else 1 if len(t) < 9 else 2)}
         found = lexicon.match(w)
         assert (found is not None) == bool(near) and (not near or near[found[0]] == found[1] == min(near.values()))
     begins = toxicity.Lexicon({"clow*": 1.0})
     assert begins.match("clowns") == ("clow*", 0) and begins.match("clo") is None
+    begins = toxicity.Lexicon({"idiot*": 1.0, "tat": 1.0})
+    for word in ("idiotisch", "idotisch", "idioltisch", "idiatisch", "didiotisch", "tat", "tst", "idoltisch"):
+        edits = min(distance(word[:k], "idiot") for k in range(len(word) + 1))
+        assert begins.match(word) == (("idiot*", edits) if edits < 2 else ("tat", 0) if word == "tat" else None), word
 
 
 def test_page_text():
