@@ -99,6 +99,8 @@ class Lexicon:
         self.sets: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple[str, int] | None] = []
+        #: whether only the rest of a word is left, which changes nothing
+        self.over: list[bool] = []
         self.start = self._state({(0, 0, "")})
 
     def _state(self, items: set[tuple[int, int, str]]) -> int:
@@ -122,6 +124,7 @@ class Lexicon:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
+            self.over.append(all(n == REST for n, _, _ in key))
             nearest = min(hits, key=lambda h: (h[0], h[1] < 0, h[1], h[2])) if hits else None
             self.found.append((nearest[2], nearest[0]) if nearest else None)
         return self.states[key]
@@ -150,6 +153,8 @@ class Lexicon:
             state = self.steps[state].get(c) if c in self.steps[state] else self._step(state, c)
             if state < 0:
                 return None
+            if self.over[state]:
+                break
         return self.found[state]
 
 
