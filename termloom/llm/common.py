@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one where it is unset and Spark runs in one process (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.sparkContext.getCheckpointDir()
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not shared:
         shared = f"file://{tempfile.mkdtemp(prefix='termloom-')}"
         spark.sparkContext.setCheckpointDir(shared)
@@ -36,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made and nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("termloom-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)
 
@@ -68,13 +80,20 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, key: str = "__tl_doc")
     return out, numbers.select(key, F.col("__tl_id").alias("id"))
 
 
-#: rows that Arrow hands to Python at once: with texts of 100 kB a batch stays near 50 MB
-BATCH_ROWS = 500
+#: most rows and bytes that Arrow hands to Python at once
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory that a batch of long texts takes, by the session's setting for rows in a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lowers the session's bounds of a batch to BATCH_ROWS and BATCH_BYTES, so that very long texts don't fill a worker.
+
+    The settings stay, as a plan reads them when it runs; smaller ones are left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.sub(r"b$", "", spark.conf.get(key, str(2 * most)))
+        if not now.isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
 
 
 def trim() -> None:

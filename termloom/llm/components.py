@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import written
+from termloom.llm.common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,21 +16,29 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for every node of an edge the least node that it reaches.
 
-    Each round hangs the neighbours of every node below the least of them; a node
-    with very many edges is summed before the exchange and joined as a skewed key.
-    The number of rounds follows the logarithm of the number of nodes.
+    Each round hangs the neighbours of every node below the least of them.  The
+    least neighbours are summed before the exchange and written, so that a join with
+    them is one of two tables: small ones are broadcast by their size, and a node with
+    very many edges is dealt to several tasks as a skewed key.  The number of rounds
+    follows the logarithm of the number of nodes; the tables of a round are deleted
+    when the next one is there.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     now = written(edges.select(u, v).where("u <> v").distinct(), "edges")
     state = _state(now)
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.where("u <> v").distinct(), "edges")
-        if (found := _state(after)) == state:
+        found = _state(after)
+        for table in (least, large, low):
+            discard(table)
+        if found == state:
+            discard(after)
             break
+        discard(now)
         now, state = after, found
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
