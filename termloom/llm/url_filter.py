@@ -9,7 +9,8 @@ the last stack before it, drops the rules that its key has left, and keeps the
 longest rule whose path fits.
 
 A sweep is cut by the top label and a salt, so that no host meets in one task;
-the rules of a top label are put into each of its ``SALTS`` sweeps.
+the rules of a top label are put into each of its sweeps.  There are at least ``SALTS``
+of them, and so many that a sweep has about ``SWEEP_ROWS`` urls.
 
 Results for odd input: a null url, or one without ``://``, has an empty host and
 path, no rule and the default verdict; repeated rows are judged each; equal
@@ -21,15 +22,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from termloom.llm.common import table
+from termloom.llm.common import parts_for, table
 
-SALTS = 256
+SALTS, SWEEP_ROWS = 256, 1 << 20
 DEFAULT = "allow"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-RULE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("verdict", "host", "path")])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,11 +54,12 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages``."""
     host, path = host_and_path(F.col(url_col))
+    salts = parts_for(pages.count(), SWEEP_ROWS, SALTS)
     top = F.substring_index("key", ".", 1).alias("top")
-    points = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).cast("int").alias("salt")).withColumn("key", reversed_key(F.col("host")))
+    points = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt")).withColumn("key", reversed_key(F.col("host")))
     stacks = rule_stacks(rules)
     points = points.select(top, "salt", "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
-    starts = stacks.select(top, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "key", F.lit(0).alias("kind"), F.lit(None).cast(pages.schema[id_col].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
+    starts = stacks.select(top, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), F.lit(None).cast(pages.schema[id_col].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
     sweep = W.partitionBy("top", "salt").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     swept = points.unionByName(starts).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     fits = F.filter("open", lambda r: F.col("key").startswith(r["key"]) & F.col("path").startswith(r["path"]))
@@ -68,7 +68,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, RULE_SCHEMA))
+    rules = ", ".join("('" + "', '".join(rule) + "')" for rule in RULES)
+    return judge(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rules} AS rules(verdict, host, path)"))
 
 
 ORACLE = f"""
