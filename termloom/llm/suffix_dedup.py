@@ -19,6 +19,11 @@ are sorted.
    of the rest are compared window by window through rolling hashes.
 4. The spans found are gathered per document and cut from the text.
 
+A gram that stands in HOT places or more, each with other text around it, would
+bring them all into one task.  The windows around such an anchor are dealt out one
+by one, by a hash of their WINDOW bytes: a task sends each of them once, however
+often it sees it, and the earliest of a window's places is found where they meet.
+
 Results for odd input: null text is empty; a null doc_id sorts before all others
 and comes back as null; rows that repeat a doc_id with the same text count as one
 document and each get its result; with other texts they are documents of their
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm.bytescan import BYTE_CODE, U, flat, mix
-from termloom.llm.common import NULL_ID, numbered, parts_for, small_batches, table, total_bytes, trim
+from termloom.llm.common import NULL_ID, numbered, parts_for, small_batches, table, total_bytes, trim, written
 
 WINDOW, GRAM = 100, 32
 LEFT = WINDOW - GRAM
@@ -50,6 +55,10 @@ OUTSIDE = 0xFF
 #: anchors have the least hashes of their windows, so they are hashed again before they are dealt out
 AGAIN = U(0x5851F42D4C957F2D)
 _B = 0x9E3779B97F4A7C15 | 1
+#: places from which on a gram is split into windows, and how many grams at most are (those with the most places); no result depends on them
+HOT, HOT_MOST = 8192, 1_000_000
+#: marks a run of windows
+WINDOWS = b"w"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -113,7 +122,9 @@ def _gaps(h: np.ndarray) -> np.ndarray:
     return out
 
 
-ANCHOR_ROWS = "bucket long, hashes binary, docs binary, places binary"
+ANCHOR_ROWS = "bucket long, hashes binary, counts binary, docs binary, places binary"
+#: in the place of a range of documents: grams and in how many places they stand
+GRAMS = -1
 
 
 def _send_anchors(n_buckets: int):
@@ -132,13 +143,14 @@ def _send_anchors(n_buckets: int):
             many |= ~first
             known_d, known_p = d[many], p[many]
             p = np.where(many, np.int32(-1), p)[first]
+            times = np.diff(np.append(np.flatnonzero(first), len(h))).astype(np.int32)
             h, d = h[first], d[first]
             bucket = _bucket(h, n_buckets)
             edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            rows = [(int(bucket[s]), squeezed(_gaps(h[s:e])), squeezed(d[s:e]), squeezed(p[s:e])) for s, e in zip(edge[:-1], edge[1:])]
+            rows = [(int(bucket[s]), squeezed(_gaps(h[s:e])), squeezed(times[s:e]), squeezed(d[s:e]), squeezed(p[s:e])) for s, e in zip(edge[:-1], edge[1:])]
             for k, s in enumerate(range(0, len(known_d), 1 << 16)):
-                rows.append((int(known_p[s] + known_d[s] + k) % n_buckets, b"", squeezed(known_d[s : s + (1 << 16)]), squeezed(known_p[s : s + (1 << 16)])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "hashes", "docs", "places"])
+                rows.append((int(known_p[s] + known_d[s] + k) % n_buckets, b"", b"", squeezed(known_d[s : s + (1 << 16)]), squeezed(known_p[s : s + (1 << 16)])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "hashes", "counts", "docs", "places"])
 
         n = 0
         for batch in batches:
@@ -186,30 +198,78 @@ def _gather(t: pa.Table) -> pa.Table:
     return _by_doc(docs, [np.concatenate([unsqueezed(x, np.int32) for x in t[c].to_pylist()]) for c in names], names)
 
 
-def _find_repeated(t: pa.Table, n_targets: int) -> pa.Table:
+def _find_repeated(t: pa.Table, n_targets: int, many_places: int) -> pa.Table:
     hashes = [np.cumsum(unsqueezed(x, U), dtype=U) if x else np.zeros(0, U) for x in t["hashes"].to_pylist()]
     docs = [unsqueezed(x, np.int64) for x in t["docs"].to_pylist()]
     places = [unsqueezed(x, np.int32) for x in t["places"].to_pylist()]
     known = [i for i, h in enumerate(hashes) if not len(h)]
     fresh = [i for i, h in enumerate(hashes) if len(h)]
     d, p = [docs[i] for i in known], [places[i] for i in known]
+    often = None
     if fresh:
         h, hd, hp = (np.concatenate([x[i] for i in fresh]) for x in (hashes, docs, places))
         order = np.argsort(h)
+        times = np.concatenate([unsqueezed(x, np.int32) for x in t["counts"].to_pylist() if x])[order].astype(np.int64)
         h, hd, hp = h[order], hd[order], hp[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        total = np.add.reduceat(times, head)
+        hot = total >= many_places
+        if hot.any():
+            often = squeezed(h[head][hot].view(np.int64)), squeezed(np.minimum(total[hot], 2**31 - 1).astype(np.int32))
         same = h[1:] == h[:-1]
         many = np.zeros(len(h), bool)
         many[1:] |= same
         many[:-1] |= same
         many &= hp >= 0
         d, p = [*d, hd[many]], [*p, hp[many]]
-    return _to_docs(np.concatenate(d), [np.concatenate(p)], ["places"], n_targets)
+    out = _to_docs(np.concatenate(d), [np.concatenate(p)], ["places"], n_targets)
+    return pa.concat_tables([out, pa.table(dict(zip(out.column_names, ([GRAMS], *([x] for x in often)))), schema=out.schema)]) if often else out
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(unsqueezed(h, np.int64)), pa.array(unsqueezed(n, np.int32))], ["gram", "n"])
 
 
 RUN_ROWS = "bucket long, shared binary, rest binary, docs binary, places binary"
 
 
-def _send_runs(n_buckets: int):
+def window_hashes(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each place of the anchor in a window: how many bytes stand before it, and the hash of that window of every key."""
+    text = np.ascontiguousarray(np.concatenate([key[:, WINDOW:][:, ::-1], key[:, :WINDOW]], axis=1).T)
+    h = np.zeros(len(key), U)
+    for t in range(WINDOW):
+        h = h + BYTE_CODE[text[LEFT + t]] * U(pow(_B, t, 2**64))
+    far = U(pow(_B, WINDOW, 2**64))
+    for j in range(LEFT + 1):
+        if j:
+            h = h * U(_B) + BYTE_CODE[text[LEFT - j]] - BYTE_CODE[text[LEFT - j + WINDOW]] * far
+        yield j, mix(h)
+
+
+def earliest(h: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows by hash, document and start: those that are the first of their hash, and the others."""
+    order = np.lexsort((starts, docs, h))
+    new = np.ones(len(order), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    of = order[new][np.cumsum(new) - 1]
+    own = new | (docs[order] == docs[of]) & (starts[order] == starts[of])
+    return order[new], order[~own]
+
+
+def _joined(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of what windows cover together."""
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + WINDOW)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(docs))[: len(first)] - 1
+    return docs[first], starts[first], starts[last] + WINDOW
+
+
+def _send_runs(n_buckets: int, hot: np.ndarray = np.zeros(0, U)):
     columns = np.concatenate([np.arange(WINDOW), -1 - np.arange(LEFT)])
 
     def suffixes(data, start, end, at):
@@ -225,6 +285,17 @@ def _send_runs(n_buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             key, d, p, h = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            rows = []
+            if len(hot):
+                often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                if often.any():
+                    rows += _window_rows(key[often], d[often], p[often], n_buckets)
+                    key, d, p, h = key[~often], d[~often], p[~often], h[~often]
+            if len(key):
+                rows += suffix_rows(key, d, p, h)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "shared", "rest", "docs", "places"])
+
+        def suffix_rows(key, d, p, h) -> list[tuple]:
             bucket = _bucket(h, n_buckets)
             raw = key.tobytes()
             whole = list(zip(bucket.tolist(), [raw[i : i + WIDTH] for i in range(0, len(raw), WIDTH)], d.tolist(), p.tolist()))
@@ -239,11 +310,8 @@ def _send_runs(n_buckets: int):
             own_l, own_r = _inside(key)
             first = np.maximum.accumulate(np.where(copy, 0, np.arange(len(key))))
             gone = copy & (own_l + own_r >= WINDOW) & ((d != d[first]) | (p != p[first]))
-            rows = []
-            for s in range(0, int(gone.sum()), 1 << 16):
-                x = np.flatnonzero(gone)[s : s + (1 << 16)]
-                span = np.concatenate([p[x] - own_l[x], p[x] + own_r[x]]).astype(np.int32)
-                rows.append(((abs(int(d[x[0]])) + int(p[x[0]])) % n_buckets, b"", b"", squeezed(d[x]), squeezed(span)))
+            x = np.flatnonzero(gone)
+            rows = _span_rows(d[x], p[x] - own_l[x], p[x] + own_r[x], n_buckets)
             keep = ~copy
             key, d, p, bucket, shared = key[keep], d[keep], p[keep], bucket[keep], shared[keep]
             edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
@@ -251,7 +319,7 @@ def _send_runs(n_buckets: int):
                 k = shared[s:e].astype(np.uint8)
                 rest = key[s:e][np.arange(WIDTH) >= k[:, None]]
                 rows.append((int(bucket[s]), squeezed(k), squeezed(rest), squeezed(d[s:e]), squeezed(p[s:e])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "shared", "rest", "docs", "places"])
+            return rows
 
         n = 0
         for batch in batches:
@@ -283,6 +351,36 @@ def _send_runs(n_buckets: int):
     return run
 
 
+def _span_rows(docs: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_buckets: int) -> list[tuple]:
+    """Spans known to be repeated, on their way to any bucket."""
+    rows = []
+    for s in range(0, len(docs), 1 << 16):
+        own = slice(s, s + (1 << 16))
+        span = np.concatenate([lo[own], hi[own]]).astype(np.int32)
+        rows.append(((abs(int(docs[s])) + int(lo[s])) % n_buckets, b"", b"", squeezed(docs[own]), squeezed(span)))
+    return rows
+
+
+def _window_rows(key: np.ndarray, d: np.ndarray, p: np.ndarray, n_buckets: int) -> list[tuple]:
+    """The windows around anchors, each once, by their hash; where a task sees one again, it is known to be repeated."""
+    own_l, own_r = _inside(key)
+    h, of, starts = [], [], []
+    for j, m in window_hashes(key):
+        x = np.flatnonzero((own_l >= j) & (own_r >= WINDOW - j))
+        h.append(m[x])
+        of.append(x)
+        starts.append(p[x].astype(np.int64) - j)
+    h, of, starts = (np.concatenate(x) for x in (h, of, starts))
+    first, again = earliest(h, d[of], starts)
+    rows = _span_rows(*_joined(d[of[again]], starts[again]), n_buckets)
+    bucket = _bucket(h[first], n_buckets)  # in order, as ``first`` is by hash
+    edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    for s, e in zip(edge[:-1], edge[1:]):
+        x = first[s:e]
+        rows.append((int(bucket[s]), WINDOWS, squeezed(_gaps(h[x])), squeezed(d[of[x]]), squeezed(starts[x].astype(np.int32))))
+    return rows
+
+
 def _inside(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How far the text goes to the left and to the right of each anchor, as far as the key shows."""
     return (key[:, WINDOW:] != OUTSIDE).sum(1), (key[:, :WINDOW] != OUTSIDE).sum(1)
@@ -377,19 +475,11 @@ def covered(key: np.ndarray, docs: np.ndarray, places: np.ndarray, shared: np.nd
     x = rep[mates]
     if len(x):
         x = x[np.argsort(rank[x])]
-        text = np.concatenate([key[x, WINDOW:][:, ::-1], key[x, :WINDOW]], axis=1)
-        text = np.ascontiguousarray(text.T)
-        h = np.zeros(len(x), U)
-        for t in range(WINDOW):
-            h = h + BYTE_CODE[text[LEFT + t]] * U(pow(_B, t, 2**64))
-        far = U(pow(_B, WINDOW, 2**64))
-        for j in range(LEFT + 1):
-            if j:
-                h = h * U(_B) + BYTE_CODE[text[LEFT - j]] - BYTE_CODE[text[LEFT - j + WINDOW]] * far
+        for j, m_all in window_hashes(key[x]):
             fits = np.flatnonzero((own_l[x] >= j) & (own_r[x] >= WINDOW - j))
             if len(fits) < 2:
                 continue
-            m = mix(h[fits])
+            m = m_all[fits]
             o = np.argsort(m, kind="stable")
             later = fits[o[1:][m[o[1:]] == m[o[:-1]]]]
             at = x[later]
@@ -401,15 +491,22 @@ def covered(key: np.ndarray, docs: np.ndarray, places: np.ndarray, shared: np.nd
 
 
 def _merge_bucket(t: pa.Table, n_targets: int) -> pa.Table:
-    d, lo, hi, runs = [], [], [], []
+    d, lo, hi, runs, windows = [], [], [], [], []
     for shared, rest, docs, places in zip(*(t[c].to_pylist() for c in ("shared", "rest", "docs", "places"))):
-        if shared:
+        if shared == WINDOWS:
+            windows.append((np.cumsum(unsqueezed(rest, U), dtype=U), unsqueezed(docs, np.int64), unsqueezed(places, np.int32).astype(np.int64)))
+        elif shared:
             runs.append((unsqueezed(shared, np.uint8).tobytes(), unsqueezed(rest, np.uint8).tobytes(), unsqueezed(docs, np.int64), unsqueezed(places, np.int32)))
         else:
             span = unsqueezed(places, np.int32).reshape(2, -1)
             d.append(unsqueezed(docs, np.int64))
             lo.append(span[0].astype(np.int64))
             hi.append(span[1].astype(np.int64))
+    if windows:
+        h, wd, ws = (np.concatenate(x) for x in zip(*windows))
+        _, again = earliest(h, wd, ws)
+        for into, x in zip((d, lo, hi), _joined(wd[again], ws[again])):
+            into.append(x)
     if runs:
         text, common, of = [], [], []
         for key, k, r in merge_runs([front_decoded(s, x) for s, x, _, _ in runs]):
@@ -432,17 +529,17 @@ def _merge_bucket(t: pa.Table, n_targets: int) -> pa.Table:
     return _to_docs(np.concatenate(d), [np.concatenate(lo), np.concatenate(hi)], ["starts", "ends"], n_targets)
 
 
-def repeated_spans(bodies: DataFrame, n_bytes: int) -> DataFrame:
+def repeated_spans(bodies: DataFrame, n_bytes: int, many_places: int = HOT) -> DataFrame:
     """(doc, starts, ends): unmerged spans of ``bodies`` (doc long, body binary) that stand earlier."""
     small_batches(bodies.sparkSession)
     n_buckets = parts_for(n_bytes, 16 << 20)
-    repeated = (
-        bodies.mapInArrow(_send_anchors(n_buckets), ANCHOR_ROWS)
-        .groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, n_buckets), "target long, docs binary, places binary")
-        .groupBy("target").applyInArrow(_gather, "doc long, places array<int>")
-    )
+    repeated = bodies.mapInArrow(_send_anchors(n_buckets), ANCHOR_ROWS).groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, n_buckets, many_places), "target long, docs binary, places binary")
+    repeated = written(repeated, "repeated")
+    grams = repeated.where(F.col("target") == GRAMS).select("docs", "places").mapInArrow(_grams, "gram long, n int")
+    hot = np.sort(np.array([r["gram"] for r in grams.orderBy(F.desc("n"), "gram").limit(HOT_MOST).collect()], np.int64).view(U))  # at most HOT_MOST numbers
+    places = repeated.where(F.col("target") != GRAMS).groupBy("target").applyInArrow(_gather, "doc long, places array<int>")
     return (
-        bodies.join(repeated, "doc").select("doc", "body", "places").mapInArrow(_send_runs(n_buckets), RUN_ROWS)
+        bodies.join(places, "doc").select("doc", "body", "places").mapInArrow(_send_runs(n_buckets, hot), RUN_ROWS)
         .groupBy("bucket").applyInArrow(lambda t: _merge_bucket(t, n_buckets), "target long, docs binary, starts binary, ends binary")
         .groupBy("target").applyInArrow(_gather, "doc long, starts array<int>, ends array<int>")
     )

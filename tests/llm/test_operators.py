@@ -104,6 +104,25 @@ def test_suffix_dedup(spark, sf):
     assert sum(w[2] for w in want.values()) > 1000
 
 
+def test_grams_in_many_places_are_split(spark):
+    """A line, a passage and copies that most documents share, with grams that count as frequent from two or twenty places on."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    line, passage, copy = text(9)[:70], text(40), text(60)
+    texts = [f"{text(rng.randint(0, 12))} {line} {text(rng.randint(0, 12))}" for _ in range(60)] + [f"{text(4)} {passage} {text(4)}" for _ in range(25)] + [copy] * 8 + [passage + passage, line * 5, "", None, passage[:99]]
+    rng.shuffle(texts)
+    pairs = list(enumerate(texts))
+    bodies = spark.createDataFrame([(d, bytearray((t or "").encode())) for d, t in pairs], "doc long, body binary").repartition(5)
+    want = {d: gone for d, _, gone in repeats(pairs) if gone}
+    for many in (2, 20):
+        got = {}
+        for r in suffix_dedup.repeated_spans(bodies, 10_000, many).collect():
+            got[r.doc] = {p for a, b in zip(r.starts, r.ends) for p in range(a, b)}
+        assert got == want
+    assert sum(map(len, want.values())) > 5000
+
+
 def test_merge_runs_needs_no_known_prefix():
     random.seed(3)
     width = suffix_dedup.WIDTH
