@@ -193,15 +193,20 @@ N_FEATURES = 9
 SHORT = 4
 
 
+#: what a token tells about quotation
+NOTHING, QUOTE, REPORT = 0, 1, 2
+
+
 class Scorer:
     def __init__(self, weights: dict[str, float]):
         self.lexicon = Lexicon(weights)
-        self.memo: dict[str, tuple[str, int] | None] = {}
+        #: of each token: its term and edits, or None, and what it tells about quotation
+        self.memo: dict[str, tuple[tuple[str, int] | None, int]] = {}
 
-    def hit(self, token: str) -> tuple[str, int] | None:
+    def read(self, token: str) -> None:
         word = normal(token)
-        found = self.memo[token] = self.lexicon.match(word) if word else None
-        return found
+        told = REPORT if word in REPORTING else QUOTE if any(q in token for q in QUOTES) else NOTHING
+        self.memo[token] = self.lexicon.match(word) if word else None, told
 
     def features(self, text: str) -> list[float]:
         tokens = text.split()
@@ -210,16 +215,20 @@ class Scorer:
             memo.clear()
         abuse = quoted = fuzzy = near = short = most = 0.0
         for t in set(tokens).difference(memo):
-            self.hit(t)
-        hits = [i for i, t in enumerate(tokens) if memo[t]]
-        for i in hits:
-            term, edits = memo[tokens[i]]
+            self.read(t)
+        seen = [memo[t] for t in tokens]
+        told = None
+        for i, (found, _) in enumerate(seen):
+            if not found:
+                continue
+            term, edits = found
             w = self.lexicon.weights[term] * 0.6**edits
             if edits and len(term) <= SHORT:
                 short += w
                 continue
-            around = tokens[max(0, i - CONTEXT) : i + CONTEXT + 1]
-            if sum(any(q in t for q in QUOTES) for t in around) >= 2 or any(normal(t) in REPORTING for t in around):
+            told = told or [x for _, x in seen]
+            around = told[max(0, i - CONTEXT) : i + CONTEXT + 1]
+            if REPORT in around or around.count(QUOTE) >= 2:
                 quoted += w
             else:
                 abuse += w
@@ -252,7 +261,7 @@ def fold(id_col: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """(weights, regression) from at most FIT_ROWS labelled documents of the learning folds, or None."""
     small_batches(docs.sparkSession)
-    chosen = labels.select(F.col(id_col).alias("__tl_id"), F.col(label_col).alias("__tl_y")).where(F.col("__tl_y").isNotNull() & (fold("__tl_id") != 0)).dropDuplicates(["__tl_id"]).orderBy(F.xxhash64("__tl_id"), "__tl_id").limit(FIT_ROWS)
+    chosen = labels.select(F.col(id_col).alias("__tl_id"), F.col(label_col).alias("__tl_y")).where(F.col("__tl_y").isNotNull() & (fold("__tl_id") != 0)).groupBy("__tl_id").agg(F.max("__tl_y").alias("__tl_y")).orderBy(F.xxhash64("__tl_id"), "__tl_id").limit(FIT_ROWS)
     sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__tl_id")).select("__tl_id", F.coalesce(docs[text_col], F.lit("")).alias("t"), F.col("__tl_y").cast("int").alias("y"))
     sample = written(sample.groupBy("__tl_id", "y").agg(F.min("t").alias("t")).select("t", "y"), "labelled")  # one row for each of at most FIT_ROWS ids
     counts = sample.mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
