@@ -1,4 +1,11 @@
-"""The corpus pipeline: its stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: its stages, each written as Parquet and read again as the next one's documents.
+
+Results for odd input, in all stages: null texts are empty ones and null ids are ids;
+rows that are repeated share one fate, and rows of one id with other texts are
+documents of their own; other columns, also ones with names that an operator uses
+inside, are passed by up to the last stage, whose columns are its own; an empty
+table gives no rows.
+"""
 
 from __future__ import annotations
 
