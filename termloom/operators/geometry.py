@@ -68,3 +68,14 @@ def as_of(points: DataFrame, marks: DataFrame, keys: list[str], point: str, mark
     w = W.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__v", True).over(w))
     return both.where("__kind = 1").drop("__at", "__kind", "__v")
+
+
+def cosine(x0: Column, y0: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The size of the cosine of the angle at the second point between the first and the third."""
+    ax, ay, bx, by = x0 - x1, y0 - y1, x2 - x1, y2 - y1
+    return F.abs((ax * bx + ay * by) / F.sqrt((ax * ax + ay * ay) * (bx * bx + by * by)))
+
+
+def reading_order(df: DataFrame, keys: list[str], height: int = 50, out: str = "place") -> DataFrame:
+    """Rows of a page numbered by bands of ``height`` pixels and by x inside them."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(F.floor(F.col("y") / height), "x", "y")))

@@ -44,5 +44,29 @@ def white_columns(df: DataFrame, text: str, width: int | None = None, blank: str
     """(position, n): on how many lines a position is ``blank``, a pattern; on whole lines, or up to ``width``."""
     lines = df.select(F.explode(F.split(text, "\n")).alias("line"))
     own = F.col("line") if width is None else F.left("line", F.lit(width))
-    chars = lines.select(F.posexplode(F.split(own, "")).alias("position", "ch"))
-    return chars.where(F.col("ch").rlike(blank)).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    places = F.filter(F.transform(F.split(own, ""), lambda ch, i: F.when(ch.rlike(blank), i)), lambda i: i.isNotNull())
+    return lines.select(F.explode(places).alias("position")).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+
+
+def wide_boundaries(df: DataFrame, text: str, share: float = 0.4, least: int = 2) -> DataFrame:
+    """(start, end): runs of ``least`` places or more that are white on ``share`` of the lines.  The places are as many as the longest line has."""
+    lines = df.select(F.explode(F.split(text, "\n")).alias("line")).agg(F.count(F.lit(1)).alias("__n"))  # one row
+    often = white_columns(df, text).crossJoin(F.broadcast(lines)).where(F.col("n") >= F.greatest(F.lit(1.0), F.col("__n") * share))
+    runs = often.withColumn("__g", F.col("position") - F.row_number().over(W.orderBy("position")))
+    return runs.groupBy("__g").agg(F.min("position").alias("start"), (F.max("position") + 1).alias("end")).where(F.col("end") - F.col("start") >= least).select("start", "end")
+
+
+def cut_at(line: Column, starts: Column, ends: Column) -> Column:
+    """The columns of a line between boundaries (arrays in order), stripped, empty ones left out; without boundaries the line is split at two blanks."""
+    begin = F.concat(F.array(F.lit(0)), ends)
+    stop = F.concat(starts, F.array(F.length(line)))
+    pieces = F.transform(begin, lambda b, i: F.trim(F.substr(line, b + 1, F.greatest(F.get(stop, i) - b, F.lit(0)))))
+    return F.when(F.size(starts) == 0, F.split(line, r"\s{2,}")).otherwise(F.filter(pieces, lambda p: p != ""))
+
+
+def spaced_line(df: DataFrame, keys: list[str], left: str = "left", width: str = "width", text: str = "text") -> DataFrame:
+    """(keys, text): the words of a line with as many blanks between them as their gaps are wide: four over 100 pixels, two over 50, one over 10."""
+    w = W.partitionBy(*keys).orderBy(left, text)
+    gap = F.col(left) - F.lag(F.col(left) + F.col(width)).over(w)
+    own = df.withColumn("__t", F.concat(F.when(gap > 100, "    ").when(gap > 50, "  ").when(gap > 10, " ").otherwise(""), F.col(text)))
+    return own.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(left, text, "__t"))), lambda s: s["__t"]), "").alias("text"))

@@ -27,14 +27,108 @@ def transitions(ink: np.ndarray) -> np.ndarray:
 
 
 def sobel_histogram(image: np.ndarray, cells: int = 4, directions: int = 12) -> np.ndarray:
-    """Gradient directions weighted by size, in cells * cells regions."""
-    p = np.pad(image.astype(float), 1)
+    """How many pixels of at least mean gradient point each way, in cells * cells regions.
+
+    A pixel counts for the two directions that its angle lies between, for one if it
+    points there exactly.  At the edges the image is mirrored.
+    """
+    p = np.pad(image.astype(float), 1, mode="reflect")
     gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
     gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
-    size, turn = np.hypot(gx, gy), np.floor((np.arctan2(gy, gx) + np.pi) / (2 * np.pi) * directions).astype(int) % directions
+    size, angle = np.hypot(gx, gy), np.degrees(np.arctan2(gy, gx))
     y, x = np.indices(image.shape)
     cell = y * cells // image.shape[0] * cells + x * cells // image.shape[1]
-    return np.bincount((cell * directions + turn).ravel(), size.ravel(), cells * cells * directions)
+    strong, wide = size >= size.mean(), 360.0 / directions
+    low = np.floor(angle / wide).astype(int) % directions
+    between = np.fmod(angle, wide) != 0
+    bins = np.concatenate([(cell * directions + low)[strong], (cell * directions + (low + 1) % directions)[strong & between]])
+    return np.bincount(bins, minlength=cells * cells * directions)
+
+
+def feature_vector(image: np.ndarray, mean: np.ndarray | None = None, dev: np.ndarray | None = None) -> np.ndarray:
+    """Zernike moments, gradient directions and transitions in a row; standardised if means and deviations are given."""
+    out = np.concatenate([zernike(image), sobel_histogram(image), transitions(image > 0)]).astype(float)
+    return out if mean is None else (out - mean) / dev
+
+
+def region_contrast(gray: np.ndarray, x: int, y: int, size: int = 50) -> dict[str, float]:
+    """Mean, deviation, least, greatest and span of the pixels around a place, as far as the image goes."""
+    r = gray[max(0, y - size // 2) : y + size // 2, max(0, x - size // 2) : x + size // 2].astype(float)
+    if not r.size:
+        return dict.fromkeys(("mean", "std", "min", "max", "contrast"), float("nan"))
+    return {"mean": float(r.mean()), "std": float(r.std()), "min": float(r.min()), "max": float(r.max()), "contrast": float(r.max() - r.min())}
+
+
+def padded(image: np.ndarray, by: int = 3, white: int = 1) -> np.ndarray:
+    return np.pad(image, by, constant_values=white)
+
+
+def inverted(image: np.ndarray) -> np.ndarray:
+    """Ink and ground changed for each other, in images of 0 and 1 or of 0 and 255; the result is of 0 and 1."""
+    top = 255 if image.max(initial=0) == 255 else 1
+    return 1 - image / top
+
+
+def cut_lines(gray: np.ndarray, tops: np.ndarray, inflate: int = 1, share: float = 0.9995) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first rows of the lines, their baselines, the line of each top or -1) of a page with white (its greatest value) between lines.
+
+    Ink is grown by ``inflate`` pixels first, so that vowels stay with their line.  A line
+    begins a row above where the sum falls below ``share`` of the greatest one; its
+    baseline is its darkest row.  What stands above the first line is of none; a page
+    without breaks is one line.
+    """
+    page = gray.astype(float)
+    for _ in range(inflate):
+        p = np.pad(page, 1, mode="edge")
+        page = np.min([p[i : i + page.shape[0], j : j + page.shape[1]] for i in range(3) for j in range(3)], axis=0)
+    sums = page.sum(1)
+    limit = sums.max(initial=0) * share
+    starts = np.flatnonzero((sums < limit) & (np.roll(sums, 1) >= limit)) - 1
+    if not len(starts):
+        return starts, np.zeros(0, int), np.zeros(len(tops), int)
+    edges = np.append(np.maximum(starts, 0), len(sums))
+    baselines = np.array([a + int(sums[a:b].argmin()) for a, b in zip(edges[:-1], edges[1:])])
+    return starts, baselines, np.searchsorted(starts - 1, tops, "right") - 1
+
+
+def too_tall(heights: np.ndarray) -> np.ndarray:
+    """Which heights exceed the mean of the others by over two of their deviations."""
+    others = [np.delete(heights, i) for i in range(len(heights))]
+    return np.array([bool(len(o)) and h > o.mean() + 2 * o.std() for h, o in zip(heights, others)], bool)
+
+
+def count_lines(profile: np.ndarray, sigma: float = 25.0, least: float = 0.01) -> int:
+    """Lines of ink in a profile of sums of white: minima of the smoothed profile that hold at least ``least`` of all ink."""
+    ink = profile.max(initial=0) - profile.astype(float)
+    if not ink.sum():
+        return 0
+    reach = int(4 * sigma + 0.5)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    smooth = np.convolve(np.pad(ink, reach, mode="symmetric"), kernel / kernel.sum(), mode="valid")
+    tops = np.flatnonzero((smooth[1:-1] > smooth[:-2]) & (smooth[1:-1] > smooth[2:])) + 1
+    edges = np.concatenate([[0], (tops[1:] + tops[:-1]) // 2, [len(ink)]]) if len(tops) else np.array([0, len(ink)])
+    return int(sum(ink[a:b].sum() >= least * ink.sum() for a, b in zip(edges[:-1], edges[1:])))
+
+
+def normalised(image: np.ndarray, size: int = 32, white: int = 1) -> np.ndarray:
+    """A character's image (ink 0, white 1) as size * size pixels: the long side fills it, the short one by the root of their ratio, in the middle.
+
+    Pixels are means of the area they cover, cut at one half.
+    """
+    h, w = image.shape
+    share = np.sqrt(min(h, w) / max(h, w))
+    nh, nw = (size, max(1, round(size * share))) if h >= w else (max(1, round(size * share)), size)
+
+    def weights(n: int, m: int) -> np.ndarray:
+        a, b = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
+        covered = np.minimum(b, np.arange(n) + 1) - np.maximum(a, np.arange(n))
+        return np.maximum(covered, 0) / (n / m)
+
+    small = weights(h, nh) @ image.astype(float) @ weights(w, nw).T >= 0.5
+    out = np.full((size, size), white, np.uint8)
+    top, left = -(-(size - nh) // 2), -(-(size - nw) // 2)
+    out[top : top + nh, left : left + nw] = small
+    return out
 
 
 def mixture(x: np.ndarray, times: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

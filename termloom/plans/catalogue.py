@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -150,9 +151,13 @@ def q_leader_clusters(t):
     return values.select(F.explode(L.leaders(c("v"), 5)).alias("leader"))
 
 
-@query("SELECT CAST(p - 1 AS INTEGER) AS position, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), range(1, 41) r(p) WHERE substr(line, CAST(p AS BIGINT), 1) = ' ' GROUP BY 1")
+#: white places of all lines
+_WHITE = "h AS (SELECT CAST(i - 1 AS INTEGER) AS position, count(*) AS n FROM (SELECT unnest(list_filter(range(1, len(c) + 1), lambda j: regexp_matches(c[j], '[ \\t\\f\\r\\x0B]'))) AS i FROM (SELECT string_split(unnest(string_split(text, chr(10))), '') AS c FROM documents)) GROUP BY 1)"
+
+
+@query(f"WITH {_WHITE} SELECT position, n FROM h")
 def q_whitespace_histogram(t):
-    return L.white_columns(t("documents"), "text", 40, " ")
+    return L.white_columns(t("documents"), "text")
 
 
 @query("""WITH RECURSIVE v AS (SELECT DISTINCT p_type, p_size AS x FROM part), r(p_type, x) AS (
@@ -164,11 +169,10 @@ def q_row_tolerance(t):
     return values.select("p_type", F.explode(L.leaders(c("v"), 3)).alias("row_start"))
 
 
-@query("""WITH h AS (SELECT p, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), range(1, 41) r(p) WHERE substr(line, CAST(p AS BIGINT), 1) = ' ' GROUP BY 1),
-b AS (SELECT p, p - row_number() OVER (ORDER BY p) AS g FROM h WHERE n * 100 >= 75 * (SELECT max(n) FROM h))
-SELECT CAST(min(p) - 1 AS INTEGER) AS first, count(*) AS width FROM b GROUP BY g HAVING count(*) >= 2""")
+@query(f"""WITH {_WHITE}, b AS (SELECT position AS p, position - row_number() OVER (ORDER BY position) AS g FROM h WHERE n * 100 >= 75 * (SELECT max(n) FROM h))
+SELECT CAST(min(p) AS INTEGER) AS first, count(*) AS width FROM b GROUP BY g HAVING count(*) >= 2""")
 def q_column_islands(t):
-    counts = L.white_columns(t("documents"), "text", 40, " ")  # 40 rows at most
+    counts = L.white_columns(t("documents"), "text")  # as many rows as the longest line has places
     frequent = counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("most")))).where("n * 100 >= 75 * most")
     runs = frequent.withColumn("g", c("position") - F.row_number().over(W.orderBy("position")))
     return runs.groupBy("g").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("width")).where("width >= 2").select("first", "width")
@@ -322,22 +326,11 @@ def q_punc_ratio(t):
     return t("documents").select("doc_id", ((F.length("text") - F.length(F.replace(c("text"), F.lit(", "), F.lit("")))) / 2).cast("long").alias("marks"), F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\s+x\\s*$', ''), '\\s+x\\s+', ' ', 'g'), '^x\\s+', ''), '\\bx\\b', '', 'g')) AS cleaned FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[ༀ-࿿]|\\b(BNA|ANA|aT|AQ|STARE|ATS|AAS)\\b') AND regexp_matches(text, '^[ -~\\n]*$')")
-def q_clean_noise(t):
-    d = t("documents").withColumn("s", c("text")).where("lang = 'en'").where(~c("s").rlike(X.TIBETAN + r"|\b(BNA|ANA|aT|AQ|STARE|ATS|AAS)\b") & c("s").rlike(r"\A[ -~\n]*\z"))
-    return d.select("doc_id", X.clean_word(c("s")).alias("cleaned"))
-
-
 @query("SELECT p_partkey, CASE WHEN length(s) > 30 THEN left(s, 25) || '...' ELSE s || '།' END AS term FROM (SELECT p_partkey, replace(p_name || p_type || p_brand, ' ', '') AS s FROM part)")
 def q_truncate_term(t):
     return t("part").select("p_partkey", X.cut_term(F.concat("p_name", "p_type", "p_brand")).alias("term"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '[^e]', '', 'g') AS cleaned FROM part WHERE regexp_matches(p_name, '^[a-z ]*$')")
-def q_clean_definition(t):
-    return t("part").where(c("p_name").rlike(r"\A[a-z ]*\z")).select("p_partkey", X.clean_definition(c("p_name")).alias("cleaned"))
-
-
 @query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'econ' WHEN 1 THEN 'bio' WHEN 2 THEN 'com' ELSE '' END AS code FROM nation")
 def q_norm_subject(t):
     raw = F.element_at(F.array(F.lit("com, Econ"), F.lit(" Bio. "), F.lit("com, zzz"), F.lit("unknown")), (c("n_nationkey") % 4 + 1).cast("int"))
@@ -349,15 +342,10 @@ def q_regex_terms(t):
     return t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+) ([a-z]+)"), F.lit(1))).alias("head"))
 
 
-@query("SELECT doc_id, trim(substr(text, 1, 25)) AS c1, trim(substr(text, 26, 10)) AS c2, trim(substr(text, 36, 25)) AS c3 FROM documents")
-def q_fixed_width(t):
-    return t("documents").select("doc_id", *[F.trim(F.substring("text", a, n)).alias(name) for name, a, n in (("c1", 1, 25), ("c2", 26, 10), ("c3", 36, 25))])
-
-
-@query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '^([a-z]+) \\|', 1), ''), nullif(regexp_extract(text, '^([A-Z][a-z]+)\\.', 1), ''), left(text, 10)) AS term FROM documents")
+@query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '^([a-z]+) \\|', 1), ''), nullif(regexp_extract(text, '^([A-Z][a-z]+)\\.', 1), ''), text) AS term FROM documents")
 def q_split_cascade(t):
     first = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return t("documents").select("doc_id", F.coalesce(first(r"^([a-z]+) \|"), first(r"^([A-Z][a-z]+)\."), F.left("text", F.lit(10))).alias("term"))
+    return t("documents").select("doc_id", F.coalesce(first(r"^([a-z]+) \|"), first(r"^([A-Z][a-z]+)\."), "text").alias("term"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS b FROM conversations)
@@ -469,13 +457,23 @@ def q_kmeans_lines(t):
     return sizes.groupBy("p_type").applyInPandas(lambda g: pd.DataFrame({"p_type": g["p_type"].iloc[0], "centre": V.kmeans_1d(g["p_size"].to_numpy(float), 3)}), "p_type string, centre double")
 
 
+def _pictured(f):
+    """``f`` of a vector as a square picture; null for one that isn't."""
+
+    def run(e):
+        side = math.isqrt(len(e)) if e is not None else 0
+        return f(np.asarray(e, float).reshape(side, side)) if side and side * side == len(e) else None
+
+    return run
+
+
 @query()
 def q_features(t):
     @F.pandas_udf("array<double>")
     def features(v: pd.Series) -> pd.Series:
-        return v.map(lambda e: np.concatenate([V.sobel_histogram(np.asarray(e).reshape(8, 8)), V.transitions(np.asarray(e).reshape(8, 8) > 0)]).tolist())
+        return v.map(_pictured(lambda e: V.feature_vector(e).tolist()))
 
-    return t("embeddings").where("size(embedding) = 64").select("vec_id", features("embedding").alias("features"))
+    return t("embeddings").select("vec_id", features("embedding").alias("features"))
 
 
 @query("""WITH p AS (SELECT p_partkey, string_split(p_name, 'e') AS a FROM part)
@@ -489,15 +487,15 @@ def q_mark_choices(t):
 def q_components(t):
     @F.pandas_udf("array<struct<x:long,y:long,w:long,h:long,pixels:long>>")
     def boxes(v: pd.Series) -> pd.Series:
-        return v.map(lambda e: [dict(zip(("x", "y", "w", "h", "pixels"), map(int, b))) for b in V.components(np.asarray(e).reshape(8, 8) > 0)[1]])
+        return v.map(_pictured(lambda e: [dict(zip(("x", "y", "w", "h", "pixels"), map(int, b))) for b in V.components(e > 0)[1]]))
 
-    return t("embeddings").where("size(embedding) = 64").select("vec_id", F.explode(boxes("embedding")).alias("box")).select("vec_id", "box.*")
+    return t("embeddings").select("vec_id", F.explode(boxes("embedding")).alias("box")).select("vec_id", "box.*")
 
 
 @query()
 def q_zernike(t):
     @F.pandas_udf("array<double>")
     def moments(v: pd.Series) -> pd.Series:
-        return v.map(lambda e: V.zernike(np.asarray(e).reshape(8, 8)).tolist())
+        return v.map(_pictured(lambda e: V.zernike(e).tolist()))
 
-    return t("embeddings").where("size(embedding) = 64").select("vec_id", moments("embedding").alias("moments"))
+    return t("embeddings").select("vec_id", moments("embedding").alias("moments"))

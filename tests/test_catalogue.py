@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from termloom.plans import parse_queries  # noqa: F401  adds to the catalogue
+from termloom.plans import more_queries, parse_queries  # noqa: F401  add to the catalogue
 from termloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
