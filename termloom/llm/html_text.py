@@ -12,7 +12,7 @@ links) of the pages that have it, as deep as it may be, is the article's, togeth
 only adds headings to it.  An element that is marked as the article (``article``, ``main`` and
 the like) is preferred to it if it holds a fair share of the prose.  What stands
 in that slot is the page's text, without texts that recur beside differing texts on
-most of a host's distinct pages, lists of links, and what is left out below.
+most of a host's distinct pages (LEAST_PAGES at least), lists of links, and what is left out below.
 
 A host seen too little for a template, or a page without any of its slots, is judged by the
 page alone: the elements are ranked by what their tag or name says and by their
@@ -445,7 +445,7 @@ def templates(pages: DataFrame) -> DataFrame:
     found = written(found.where("pages > 1"), "page-tokens")
     hosts = found.where(F.col("kind") == ROOT).where(F.col("pages") >= LEAST_PAGES).select("host", F.col("pages").alias("of"), F.col("differing").alias("of_differing"))
     frequent = found.join(hosts, "host").where((F.col("kind") == ELEMENT) & (F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), SPAN * F.col("of"))))
-    recurring = found.join(hosts, "host").where((F.col("kind") == CONSTANT) & (F.col("of_differing") >= LEAST_PAGES) & (F.col("differing") >= TEXT_SPAN * F.col("of_differing")))
+    recurring = found.join(hosts, "host").where((F.col("kind") == CONSTANT) & (F.col("of_differing") >= LEAST_PAGES) & (F.col("differing") >= F.greatest(F.lit(LEAST_PAGES), TEXT_SPAN * F.col("of_differing"))))
     both = frequent.unionByName(recurring)  # of a host at most 1 / SPAN times the tokens of a page of it and 1 / TEXT_SPAN times its texts
     chosen = both.select("host", "kind", "token", "parent", "rank", "container", "of", *SUMS).groupBy("host").applyInArrow(_template, "host string, marked array<long>, slots array<long>")
     constant = recurring.groupBy("host").agg(F.collect_list("token").alias("constant"))
