@@ -61,8 +61,8 @@ def test_clusters_are_stable():
         centres = V.kmeans_1d(x, 3)
         own = np.abs(x[:, None] - centres).argmin(1)
         assert all(np.isclose(x[own == i].mean(), centres[i]) for i in range(3) if (own == i).any())
-    best = min((sum(((p - p.mean()) ** 2).sum() for p in (a, b)), tuple(a), tuple(b)) for a, b in ((np.array(s[:i]), np.array(s[i:])) for s in [sorted([1.0, 2, 2, 9, 10, 30])] for i in range(1, 6)))
-    assert np.allclose(V.kmeans_1d(np.array([1.0, 2, 2, 9, 10, 30]), 2), [np.mean(best[1]), np.mean(best[2])])
+    best = min((sum(((p - p.mean()) ** 2).sum() for p in (a, b)), tuple(a), tuple(b)) for a, b in ((np.array(s[:i]), np.array(s[i:])) for s in [sorted([1.0, 2, 2, 9, 10, 12])] for i in range(1, 6)))
+    assert np.allclose(V.kmeans_1d(np.array([1.0, 2, 2, 9, 10, 12]), 2), [np.mean(best[1]), np.mean(best[2])])
 
 
 def test_mixture_is_a_maximum():
@@ -84,7 +84,7 @@ def test_lines_of_a_page():
         page[y : y + 12, 5:75] = 0
         page[y + 3, 5:75] = 0
     starts, base, line = V.cut_lines(page, np.array([5, 20, 21, 55, 95]), inflate=1)
-    assert starts.tolist() == [18, 48, 88] and line.tolist() == [-1, 0, 0, 1, 2] and all(20 <= b - 30 * i <= 32 + 10 * (i == 2) for i, b in enumerate(base))
+    assert starts.tolist() == [18, 48, 88] and line.tolist() == [-1, 0, 0, 1, 2] and base.tolist() == [19, 49, 89]
     assert V.cut_lines(np.full((9, 9), 255), np.array([1, 2]))[2].tolist() == [0, 0]
     tall = V.too_tall(np.array([10.0, 11, 9, 10, 40]))
     assert tall.tolist() == [False] * 4 + [True]
@@ -138,7 +138,7 @@ def decoded(seen, start, steps, triples, mark):
 def test_hidden_marks(spark):
     rng = random.Random(3)
     start = {0: 0.5, 1: 0.3, 2: 0.2}
-    steps = {(a, b): rng.uniform(0.05, 1) for a in range(4) for b in range(4)}
+    steps = {(a, b): rng.uniform(0.05, 0.3 if b == 3 else 1) for a in range(4) for b in range(4)}
     triples = {(0, 1): 0.9, (1, 2): 0.05}
     every = [[{s: rng.uniform(0.05, 1) for s in range(3)} for _ in range(4)] for _ in range(25)]
     rows = [(i, t, s, p) for i, seen in enumerate(every) for t, row in enumerate(seen) for s, p in row.items()]
