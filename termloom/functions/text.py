@@ -12,6 +12,11 @@ ARTEFACTS = ["BNA", "ANA", "aT", "AQ", "STARE", "ATS", "AAS"]
 SHAD, TSEK = "།", "་"
 TIBETAN = "[\\u0F00-\\u0FFF]"
 LONGEST_TERM, CUT_TERM = 30, 25
+#: fixed values: what goes from a recognised word, from a definition, and from Tibetan text, with what comes for it, in this order
+WORD_NOISE = [(r"\s+x\s*$", ""), (r"\s+x\s+", " "), (r"^x\s+", ""), (r"\bx\b", ""), (r"\b(?:" + "|".join(ARTEFACTS) + r")\b", "")]
+DEFINITION_NOISE = [(r"\bx\b", ""), ("[0-9]+", ""), ("[A-Z]{2,}", ""), ("['‘’]", ""), (r"\s+", " ")]
+DEFINITION_STRINGS = ["ས་སུ་", "་ཤོས་ཤོག", "ATS", "AAS", "STARE", "AQ"]
+LATIN_NOISE = [("'[aA]", ""), (r"\b[aA]\b", ""), (r"[a-zA-Z]'|'[a-zA-Z]", ""), ("[a-df-zA-DF-Z]", ""), (r"\s+", "")]
 
 
 def _chain(c: Column, *steps: tuple[str, str]) -> Column:
@@ -25,13 +30,13 @@ def has_tibetan(c: Column) -> Column:
 
 
 def drop_latin(c: Column) -> Column:
-    """Tibetan text without Latin letters (``e`` stays) and without white space."""
-    return F.trim(_chain(c, ("'[aA]", ""), (r"\b[aA]\b", ""), (r"[a-zA-Z]'|'[a-zA-Z]", ""), ("[a-df-zA-DF-Z]", ""), (r"\s+", "")))
+    """Tibetan text without Latin letters (``e`` may stand for a vowel and stays), without apostrophes beside letters, and without white space."""
+    return F.trim(_chain(c, *LATIN_NOISE))
 
 
 def clean_word(c: Column) -> Column:
-    """A recognised word without noise; null is empty."""
-    plain = F.trim(_chain(F.coalesce(c, F.lit("")), (r"\s+x\s*$", ""), (r"\s+x\s+", " "), (r"^x\s+", ""), (r"\bx\b", ""), (r"\b(?:" + "|".join(ARTEFACTS) + r")\b", "")))
+    """A recognised word without single ``x`` and known artefacts, and without Latin letters if it is Tibetan; null is empty."""
+    plain = F.trim(_chain(F.coalesce(c, F.lit("")), *WORD_NOISE))
     return F.when(has_tibetan(plain), drop_latin(plain)).otherwise(plain)
 
 
@@ -51,8 +56,9 @@ def cut_term(c: Column) -> Column:
 
 
 def clean_definition(c: Column) -> Column:
-    t = F.trim(_chain(F.coalesce(c, F.lit("")), (r"\bx\b", ""), ("[0-9]+", ""), ("[A-Z]{2,}", ""), ("['‘’]", ""), (r"\s+", " ")))
-    return drop_latin(_chain(t, ("ས་སུ་|་ཤོས་ཤོག|ATS|AAS|STARE|AQ", "")))
+    """A definition without digits, capitals in a row, quotation marks and known misreadings, and without Latin letters; null is empty."""
+    t = F.trim(_chain(F.coalesce(c, F.lit("")), *DEFINITION_NOISE))
+    return drop_latin(F.regexp_replace(t, "|".join(DEFINITION_STRINGS), ""))
 
 
 def subject_code(c: Column) -> Column:
@@ -98,3 +104,34 @@ def stacks(c: Column) -> Column:
 
 def syllables(c: Column) -> Column:
     return F.filter(F.split(c, f"[{TSEK}{SHAD}\\s]+"), lambda x: x != "")
+
+
+def blank_runs(c: Column) -> Column:
+    """The lengths of the runs of blanks in a line."""
+    return F.transform(F.regexp_extract_all(c, F.lit(" +"), F.lit(0)), lambda r: F.length(r))
+
+
+def packed(c: Column) -> Column:
+    """Text as zlib-compressed UTF-8."""
+    import zlib
+
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda s: zlib.compress(s.encode()), na_action="ignore")
+
+    return run(c)
+
+
+def unpacked(c: Column) -> Column:
+    """The text that ``packed`` made smaller."""
+    import zlib
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda b: zlib.decompress(b).decode(), na_action="ignore")
+
+    return run(c)

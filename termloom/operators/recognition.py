@@ -305,3 +305,37 @@ def hidden_marks(emissions: DataFrame, start: dict[int, float], steps: dict[tupl
         return pd.DataFrame({"seq": [group["seq"].iloc[0]], "states": [list(paths[best[1]][1]) if best else []]})
 
     return emissions.groupBy("seq").applyInPandas(run, "seq long, states array<long>")
+
+
+def box_tree(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, parent): of boxes (id, x, y, w, h) the one around each that begins farthest right, or null; of equal ones the least id."""
+    a = boxes.select(*keys, "id", *[F.col(c).alias(f"__{c}") for c in "xywh"])
+    b = boxes.select(*keys, F.col("id").alias("__id"), "x", "y", "w", "h")
+    inside = (F.col("x") <= F.col("__x")) & (F.col("y") <= F.col("__y")) & (F.col("x") + F.col("w") >= F.col("__x") + F.col("__w")) & (F.col("y") + F.col("h") >= F.col("__y") + F.col("__h"))
+    equal = F.lit(True)
+    for c in "xywh":
+        equal = equal & (F.col(c) == F.col(f"__{c}"))
+    around = a.join(b, keys).where(inside & (F.col("id") != F.col("__id")) & (~equal | (F.col("__id") < F.col("id"))))
+    parent = around.groupBy(*keys, "id").agg(F.min(F.struct((-F.col("x")).alias("x"), "__id"))["__id"].alias("parent"))
+    return boxes.select(*keys, "id").join(parent, [*keys, "id"], "left")
+
+
+def sized(chars: DataFrame, stack: str, width: str) -> DataFrame:
+    """(stack, width, size) for each width of each stack: ``b`` or ``s``, by which of two Gaussians over the stack's widths it is likelier of.
+
+    The widths are counted first, so a stack's group has a row for each width.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from termloom.operators.vision import mixture
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, n = group[width].to_numpy(float), group["count"].to_numpy(float)
+        weight, mean, dev = mixture(x, n)
+        log = np.log(weight) - np.log(dev) - 0.5 * ((x[:, None] - mean) / dev) ** 2
+        large = log.argmax(1) == int(mean.argmax())
+        return pd.DataFrame({stack: group[stack], width: group[width], "size": np.where(large & (len(x) > 1), "b", "s")})
+
+    counted = chars.groupBy(stack, width).count()
+    return counted.groupBy(stack).applyInPandas(run, chars.select(stack, width, F.lit("").alias("size")).schema)

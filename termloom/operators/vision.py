@@ -105,7 +105,7 @@ def count_lines(profile: np.ndarray, sigma: float = 25.0, least: float = 0.01) -
     reach = int(4 * sigma + 0.5)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth = np.convolve(np.pad(ink, reach, mode="symmetric"), kernel / kernel.sum(), mode="valid")
-    tops = np.flatnonzero((smooth[1:-1] > smooth[:-2]) & (smooth[1:-1] > smooth[2:])) + 1
+    tops = np.flatnonzero((smooth[1:-1] > smooth[:-2]) & (smooth[1:-1] >= smooth[2:])) + 1
     edges = np.concatenate([[0], (tops[1:] + tops[:-1]) // 2, [len(ink)]]) if len(tops) else np.array([0, len(ink)])
     return int(sum(ink[a:b].sum() >= least * ink.sum() for a, b in zip(edges[:-1], edges[1:])))
 
@@ -215,3 +215,60 @@ def skew(ink: np.ndarray, most: float = 10, step: float = 0.25) -> float:
     angles = angles[np.argsort(np.abs(angles), kind="stable")]  # of equal ones the least
     best = [float((np.unique(np.round(y * np.cos(a) - x * np.sin(a)), return_counts=True)[1].astype(float) ** 2).sum()) for a in np.radians(angles)]
     return float(angles[int(np.argmax(best))]) if len(y) else 0.0
+
+
+def otsu(gray: np.ndarray) -> int:
+    """The level (0 to 255) that parts the pixels into two groups that vary least inside; ink is at or below it."""
+    n = np.bincount(gray.astype(np.uint8).ravel(), minlength=256).astype(float)
+    below, total = np.cumsum(n), np.cumsum(n * np.arange(256))
+    above = below[-1] - below
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = below * above * (total / below - (total[-1] - total) / above) ** 2
+    return int(np.nan_to_num(apart, nan=-1.0).argmax())
+
+
+def character_size(gray: np.ndarray, unknown: float = 16.0) -> float:
+    """The greater of the median width and height of connected pieces that are no specks and no large regions."""
+    boxes = components(gray <= otsu(gray))[1] if gray.size and gray.min() < gray.max() else np.zeros((0, 5), int)
+    h, w = gray.shape
+    fit = boxes[(boxes[:, 2] >= 3) & (boxes[:, 2] <= 0.3 * w) & (boxes[:, 3] >= 3) & (boxes[:, 3] <= 0.3 * h)]
+    return float(max(np.median(fit[:, 2]), np.median(fit[:, 3]))) if len(fit) else unknown
+
+
+def enlarged(gray: np.ndarray, least: float = 12, small: float = 10, page: tuple[int, int] = (100, 200), bounds: tuple[float, float] = (1.2, 1.5)) -> np.ndarray:
+    """The image, made larger by linear interpolation if its characters or itself are very small; never beyond ``bounds``."""
+    size = character_size(gray)
+    if size >= small and gray.shape[0] >= page[0] and gray.shape[1] >= page[1]:
+        return gray
+    by = min(max(bounds[0], least / size), bounds[1])
+    h, w = int(gray.shape[0] * by), int(gray.shape[1] * by)
+
+    def places(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = places(gray.shape[0], h), places(gray.shape[1], w)
+    g = gray.astype(float)
+    rows = g[y0] * (1 - fy[:, None]) + g[y1] * fy[:, None]
+    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+
+
+def without_specks(ink: np.ndarray, width: int = 5, height: int = 5) -> np.ndarray:
+    """Ink without connected pieces of at most ``width`` times ``height`` pixels."""
+    labels, boxes = components(ink)
+    specks = np.flatnonzero((boxes[:, 2] <= width) & (boxes[:, 3] <= height)) + 1
+    return ink & ~np.isin(labels, specks)
+
+
+def decode_pgm(raw: bytes) -> np.ndarray:
+    """A grey image from binary PGM; pixels 0 to 255."""
+    import re
+
+    head = re.match(rb"P5(?:\s+#[^\n]*\n|\s)+(\d+)\s+(\d+)\s+(\d+)\s", raw)
+    if not head:
+        raise ValueError("no binary PGM image")
+    w, h, top = (int(g) for g in head.groups())
+    kind = ">u2" if top > 255 else "u1"
+    pixels = np.frombuffer(raw, kind, w * h, head.end()).reshape(h, w)
+    return (pixels.astype(float) * 255 / top).round().astype(np.uint8)

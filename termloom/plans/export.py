@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from termloom.functions.text import language_pair, optional_line, status_icon
 
 NEWEST = 1000
-#: fixed values: the wording and the rules of the exported texts
-TITLE, WHOLE_TITLE = "📚 *Glossário BUDA*", "📚 *GLOSSÁRIO COMPLETO BUDA*"
+#: fixed values: the wording and the rules of the exported texts; a glossary's own name may be given instead of the first two
+NAME, WHOLE_NAME = "Glossário", "GLOSSÁRIO COMPLETO"
 SHORT_RULE, LONG_RULE, HEADING_RULE, LONG_HEADING_RULE = "═══════════════════════", "═══════════════════════════", "───────────────", "───────────────────"
 SHARE = "\n\n🔗 _Compartilhe este glossário com outros tradutores!_\n💡 _Para sugerir correções ou novos termos, entre em contato._"
 
@@ -76,22 +76,26 @@ def export_recent(terms: DataFrame, cutoff: str) -> DataFrame:
     return export_lines(terms.where(F.col("date_added") > F.lit(cutoff).cast("timestamp")))
 
 
-def recent_document(terms: DataFrame, now: str, days: int = 7) -> DataFrame:
+def _title(name: str) -> str:
+    return f"📚 *{name}*"
+
+
+def recent_document(terms: DataFrame, now: str, days: int = 7, name: str = NAME) -> DataFrame:
     """(position, line) of the terms added in the last days, with title and totals."""
     cutoff = days_before(F.lit(now).cast("timestamp"), days).cast("timestamp")
-    none = f"{TITLE} - Nenhum termo novo nos últimos {days} dias"
-    return _document(export_lines(terms.where(F.col("date_added") > cutoff)), f"{TITLE}\n🗓️ Novos termos dos últimos {days} dias", SHORT_RULE, now, "novos termos", none)
+    none = f"{_title(name)} - Nenhum termo novo nos últimos {days} dias"
+    return _document(export_lines(terms.where(F.col("date_added") > cutoff)), f"{_title(name)}\n🗓️ Novos termos dos últimos {days} dias", SHORT_RULE, now, "novos termos", none)
 
 
 def newest(terms: DataFrame) -> DataFrame:
     return terms.orderBy(*_order()).limit(NEWEST)
 
 
-def whole_document(terms: DataFrame, now: str) -> DataFrame:
+def whole_document(terms: DataFrame, now: str, name: str = WHOLE_NAME) -> DataFrame:
     """(position, line) of the newest NEWEST terms with their states."""
     body = F.concat(_heading(LONG_HEADING_RULE), F.lit("• **"), F.col("source_term"), F.lit("** → "), F.col("target_term"), F.lit(" "), status_icon(F.col("verified_status")), F.lit("\n"), optional_line("  📝 _", F.col("context"), "_\n"))
     lines = numbered_by_day(newest(terms)).select("position", body.alias("line"))
-    return _document(lines, WHOLE_TITLE, LONG_RULE, now, "termos", f"{TITLE} - Nenhum termo no banco de dados", "\n")
+    return _document(lines, _title(name), LONG_RULE, now, "termos", f"{_title(name)} - Nenhum termo no banco de dados", "\n")
 
 
 def _by_contributor(terms: DataFrame, name: str) -> DataFrame:
@@ -103,11 +107,11 @@ def export_by_contributor(terms: DataFrame, name: str) -> DataFrame:
     return export_lines(_by_contributor(terms, name))
 
 
-def contributor_document(terms: DataFrame, name: str, now: str) -> DataFrame:
+def contributor_document(terms: DataFrame, contributor: str, now: str, name: str = NAME) -> DataFrame:
     """As ``export_by_contributor``, with dates instead of headings, and with title and totals."""
     body = F.concat(F.lit("• **"), F.col("source_term"), F.lit("**\n  ➜ "), F.col("target_term"), F.lit("\n"), optional_line("  📝 _", F.col("context"), "_\n"), F.lit("  📅 "), F.date_format("date_added", "yyyy-MM-dd HH:mm:ss"), F.lit("\n\n"))
-    lines = numbered_by_day(_by_contributor(terms, name)).select("position", body.alias("line"))
-    return _document(lines, f"{TITLE}\n👤 Contribuições de: {name}", SHORT_RULE, now, "termos", f"{TITLE} - Nenhum termo encontrado para {name}")
+    lines = numbered_by_day(_by_contributor(terms, contributor)).select("position", body.alias("line"))
+    return _document(lines, f"{_title(name)}\n👤 Contribuições de: {contributor}", SHORT_RULE, now, "termos", f"{_title(name)} - Nenhum termo encontrado para {contributor}")
 
 
 def detail_view() -> Column:

@@ -57,17 +57,17 @@ def _ends(title: str, rule: str, noun: str, gap: str = "") -> str:
     return f"""SELECT position, line FROM l UNION ALL SELECT 0, {text(title + chr(10) + rule + chr(10) + chr(10))} UNION ALL SELECT (SELECT count(*) FROM l) + 1, {text(gap + rule + chr(10) + '📊 Total: ')} || (SELECT count(*) FROM l) || {text(' ' + noun + chr(10) + '🕐 Gerado em: ')} || strftime(TIMESTAMP '{NOW}', '%d/%m/%Y %H:%M')"""
 
 
-@query(f"WITH {_TERMS}, r AS (SELECT * FROM terms WHERE date_added > TIMESTAMP '{NOW}' - INTERVAL {DAYS} DAY), {_numbered('r')}, l AS (SELECT position, {_BODY} AS line FROM n) {_ends(f'{E.TITLE}{chr(10)}🗓️ Novos termos dos últimos {DAYS} dias', E.SHORT_RULE, 'novos termos')}")
+@query(f"WITH {_TERMS}, r AS (SELECT * FROM terms WHERE date_added > TIMESTAMP '{NOW}' - INTERVAL {DAYS} DAY), {_numbered('r')}, l AS (SELECT position, {_BODY} AS line FROM n) {_ends(f'📚 *{E.NAME}*{chr(10)}🗓️ Novos termos dos últimos {DAYS} dias', E.SHORT_RULE, 'novos termos')}")
 def q_export_recent(t):
     return E.recent_document(_terms(t), NOW, DAYS)
 
 
-@query(f"WITH {_TERMS}, r AS (SELECT * FROM terms ORDER BY date_added DESC, id DESC LIMIT {E.NEWEST}), {_numbered('r')}, l AS (SELECT position, {_head(E.LONG_HEADING_RULE)} || '• **' || source_term || '** → ' || target_term || ' ' || CASE lower(coalesce(verified_status, 'draft')) WHEN 'verified' THEN '✅' WHEN 'approved' THEN '✅' WHEN 'reviewed' THEN '🔍' WHEN 'draft' THEN '📝' ELSE '❓' END || chr(10) || {_CONTEXT} AS line FROM n) {_ends(E.WHOLE_TITLE, E.LONG_RULE, 'termos', chr(10))}")
+@query(f"WITH {_TERMS}, r AS (SELECT * FROM terms ORDER BY date_added DESC, id DESC LIMIT {E.NEWEST}), {_numbered('r')}, l AS (SELECT position, {_head(E.LONG_HEADING_RULE)} || '• **' || source_term || '** → ' || target_term || ' ' || CASE lower(coalesce(verified_status, 'draft')) WHEN 'verified' THEN '✅' WHEN 'approved' THEN '✅' WHEN 'reviewed' THEN '🔍' WHEN 'draft' THEN '📝' ELSE '❓' END || chr(10) || {_CONTEXT} AS line FROM n) {_ends(f'📚 *{E.WHOLE_NAME}*', E.LONG_RULE, 'termos', chr(10))}")
 def q_export_all(t):
     return E.whole_document(_terms(t), NOW)
 
 
-@query(f"WITH {_TERMS}, r AS (SELECT * FROM (SELECT * FROM terms ORDER BY date_added DESC, id DESC LIMIT {E.NEWEST}) WHERE contributor = 'c2'), {_numbered('r')}, l AS (SELECT position, '• **' || source_term || '**' || chr(10) || '  ➜ ' || target_term || chr(10) || {_CONTEXT} || '  📅 ' || strftime(date_added, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) AS line FROM n) {_ends(f'{E.TITLE}{chr(10)}👤 Contribuições de: c2', E.SHORT_RULE, 'termos')}")
+@query(f"WITH {_TERMS}, r AS (SELECT * FROM (SELECT * FROM terms ORDER BY date_added DESC, id DESC LIMIT {E.NEWEST}) WHERE contributor = 'c2'), {_numbered('r')}, l AS (SELECT position, '• **' || source_term || '**' || chr(10) || '  ➜ ' || target_term || chr(10) || {_CONTEXT} || '  📅 ' || strftime(date_added, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) AS line FROM n) {_ends(f'📚 *{E.NAME}*{chr(10)}👤 Contribuições de: c2', E.SHORT_RULE, 'termos')}")
 def q_export_contributor(t):
     return E.contributor_document(_terms(t), "c2", NOW)
 
@@ -427,3 +427,24 @@ def q_glossary_structure(t):
 def q_growing_lists(t):
     every = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda s: s["event_type"])
     return t("events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"), F.array_join(every, ",").alias("every"))
+
+
+@query(f"WITH {_SQL_LINES} SELECT CAST(length(r) AS INTEGER) AS width, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, ' +')) AS r FROM lines) GROUP BY 1")
+def q_blank_runs(t):
+    return _lines(t).select(F.explode(X.blank_runs(c("line"))).alias("width")).groupBy("width").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RECTS = "rects AS (SELECT o_custkey % 300 AS page, o_orderkey AS id, CAST(o_orderkey % 40 AS INTEGER) AS x, CAST(o_orderkey * 7 % 30 AS INTEGER) AS y, CAST(5 + o_orderkey * 3 % 60 AS INTEGER) AS w, CAST(5 + o_orderkey % 50 AS INTEGER) AS h FROM orders)"
+
+
+@query(f"""WITH {_RECTS}, p AS (SELECT a.page, a.id, b.id AS parent, row_number() OVER (PARTITION BY a.page, a.id ORDER BY b.x DESC, b.id) AS r FROM rects a JOIN rects b ON a.page = b.page AND a.id <> b.id AND b.x <= a.x AND b.y <= a.y AND b.x + b.w >= a.x + a.w AND b.y + b.h >= a.y + a.h
+  AND (NOT (a.x = b.x AND a.y = b.y AND a.w = b.w AND a.h = b.h) OR b.id < a.id)) SELECT rects.page, rects.id, parent FROM rects LEFT JOIN p ON rects.page = p.page AND rects.id = p.id AND r = 1""")
+def q_box_tree(t):
+    k = c("o_orderkey")
+    rects = t("orders").select((c("o_custkey") % 300).alias("page"), k.alias("id"), (k % 40).cast("int").alias("x"), (k * 7 % 30).cast("int").alias("y"), (5 + k * 3 % 60).cast("int").alias("w"), (5 + k % 50).cast("int").alias("h"))
+    return R.box_tree(rects, ["page"])
+
+
+@query("SELECT doc_id, text FROM documents")
+def q_packed_text(t):
+    return t("documents").select("doc_id", X.unpacked(X.packed(c("text"))).alias("text"))

@@ -89,3 +89,26 @@ def write_libsvm(df: DataFrame, path: str) -> None:
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.text(path)
+
+
+def read_images(spark: SparkSession, path: str, pattern: str = "*.pgm") -> DataFrame:
+    """(path, h, w, px): grey images as rows of bytes, 255 white; files that don't decode have nulls."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from termloom.operators.vision import decode_pgm
+
+        for batch in batches:
+            out = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    image = decode_pgm(raw)
+                    out.append((name, *image.shape, image.tobytes()))
+                except ValueError:
+                    out.append((name, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.binary()))], ["path", "h", "w", "px"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, h int, w int, px binary")

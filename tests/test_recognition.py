@@ -222,3 +222,52 @@ def test_event_windows(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.sql("SELECT hour(window.start) h, event_type, n, total FROM windows").collect()
     assert sorted(map(tuple, got)) == [(0, "a", 2, 3.0), (0, "b", 1, 8.0), (1, "a", 1, 4.0), (9, "b", 1, 1.0)]
+
+
+def test_levels_and_sizes():
+    rng = np.random.default_rng(11)
+    gray = np.concatenate([rng.integers(20, 60, 500), rng.integers(150, 220, 900)]).reshape(35, 40)
+    level = V.otsu(gray)
+
+    def spread(k):
+        low, high = gray[gray <= k], gray[gray > k]
+        return low.size * low.var() + high.size * high.var() if low.size and high.size else np.inf
+
+    assert abs(spread(level) - min(spread(k) for k in range(256))) < 1e-6
+    page = np.full((150, 300), 255)
+    for i in range(5):
+        page[20 : 20 + 8, 20 + 30 * i : 20 + 30 * i + 6] = 0
+    page[100, 100] = 0
+    assert V.character_size(page) == 8 and V.character_size(np.full((5, 5), 255)) == 16
+    assert V.enlarged(page).shape == (225, 450) and V.enlarged(np.full((200, 300), 255)).shape == (200, 300)
+    ink = V.without_specks(page == 0)
+    assert not ink[100, 100] and ink.sum() == 5 * 48
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "a.pgm").write_bytes(b"P5\n# made up\n3 2\n255\n" + bytes([0, 1, 2, 253, 254, 255]))
+    (tmp_path / "b.pgm").write_bytes(b"no image")
+    got = {r.path.rsplit("/", 1)[1]: (r.h, r.w, bytes(r.px) if r.px else None) for r in sources.read_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.pgm": (2, 3, bytes([0, 1, 2, 253, 254, 255])), "b.pgm": (None, None, None)}
+
+
+def test_sizes_of_stacks(spark):
+    rng = random.Random(4)
+    rows = [("ཀ", rng.randint(9, 12)) for _ in range(200)] + [("ཀ", rng.randint(30, 34)) for _ in range(100)] + [("ཁ", 7)] * 5
+    got = {(r.ch, r.w): r.size for r in R.sized(spark.createDataFrame(rows, "ch string, w int"), "ch", "w").collect()}
+    assert all(size == ("b" if w > 20 else "s") for (_, w), size in got.items()) and len(got) > 6
+
+
+def test_commands(spark, tmp_path, capsys):
+    from termloom.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    head = "\t".join(f.name for f in TSV_WORDS)
+    line = lambda left, text: f"5\t1\t1\t1\t1\t1\t{left}\t30\t9\t9\t90\t{text}\n"
+    (tmp_path / "in/p.tsv").write_text(head + "\n" + line(10, "alpha") + line(900, "bio") + line(1200, "ཀ"))
+    path = str(tmp_path / "store")
+    assert main(["ingest", path, str(tmp_path / "in")]) == "1 new terms" and main(["ingest", path, str(tmp_path / "in")]) == "0 new terms"
+    assert main(["search", path, "ALP"]) == main(["recent", path]) == "alpha → ཀ།"
+    text = main(["export", path, "--days", "3", "--share"])
+    assert "• **alpha**" in text and "📊 Total: 1 novos termos" in text and "🔗" in text
+    assert main(["search", path, "zzz"]) == ""
