@@ -57,6 +57,8 @@ AGAIN = U(0x5851F42D4C957F2D)
 _B = 0x9E3779B97F4A7C15 | 1
 #: places from which on a gram is split into windows, and how many grams at most are (those with the most places); no result depends on them
 HOT, HOT_MOST = 8192, 1_000_000
+#: bytes of text for each bucket: several of them share a task, so that tasks are about even
+BUCKET_BYTES = 4 << 20
 #: marks a run of windows
 WINDOWS = b"w"
 
@@ -532,7 +534,7 @@ def _merge_bucket(t: pa.Table, n_targets: int) -> pa.Table:
 def repeated_spans(bodies: DataFrame, n_bytes: int, many_places: int = HOT) -> DataFrame:
     """(doc, starts, ends): unmerged spans of ``bodies`` (doc long, body binary) that stand earlier."""
     small_batches(bodies.sparkSession)
-    n_buckets = parts_for(n_bytes, 16 << 20)
+    n_buckets = parts_for(n_bytes, BUCKET_BYTES)
     repeated = bodies.mapInArrow(_send_anchors(n_buckets), ANCHOR_ROWS).groupBy("bucket").applyInArrow(lambda t: _find_repeated(t, n_buckets, many_places), "target long, docs binary, places binary")
     repeated = written(repeated, "repeated")
     grams = repeated.where(F.col("target") == GRAMS).select("docs", "places").mapInArrow(_grams, "gram long, n int")
