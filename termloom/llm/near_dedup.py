@@ -32,8 +32,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from termloom.llm.bytescan import BASE, LOWER, U, flat, groups, mix, prefix_hash, span_hash, window_hash, words
 from termloom.llm.common import NULL_ID, numbered, parts_for, small_batches, table, trim, written
@@ -241,18 +242,62 @@ def _grouped(relation, link: int):
     return run
 
 
+def _edges(dealt: DataFrame, n_parts: int, relation, link: int) -> DataFrame:
+    """Edges of the forests of the groups (key, i, j) that the rows (key, i, j, doc, n, blob) are dealt to."""
+    dealt = dealt.select("key", "i", "j", "doc", "n", "blob").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "part").groupBy("part").applyInArrow(_grouped(relation, link), "a long, b long")
+
+
+def _block(size: Column) -> Column:
+    """The number of blocks of so many rows."""
+    return F.ceil(size / BLOCK).cast("int")
+
+
+def _met(rows: DataFrame, own: Column, partners: Column) -> DataFrame:
+    """Rows dealt to the groups of their own block and each partner."""
+    return rows.withColumn("own", own).withColumn("other", F.explode(partners)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
 def _forest_of(members: DataFrame, sizes: DataFrame, n_parts: int, relation, link: int) -> DataFrame:
     """Edges that connect what ``relation`` connects inside each key; (key, doc, n, blob) and (key, size).
 
-    A key of over BLOCK members is cut into blocks, and each pair of blocks is a group.
+    A key of over BLOCK members is cut into blocks.  What one block connects is a part,
+    and first the parts meet by one member of each; only blocks that still hold
+    different parts meet whole, pair by pair, and never two of the same part.  So a group whose
+    members are all near each other costs as much as its members, not as their pairs.
     """
-    cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("doc", F.lit(3)), F.col("blocks")).cast("int")
-    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("blocks") > 1, F.col("blocks") - 1).otherwise(0))))
-    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "n", "blob")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut.repartition(tasks, "part").groupBy("part").applyInArrow(_grouped(relation, link), "a long, b long")
+    hashed = F.xxhash64("doc", F.lit(3))
+    large = written(sizes.where(F.col("size") > BLOCK).withColumn("blocks", _block(F.col("size"))).select("key", "blocks"), "large-keys")
+    within = members.join(large, "key", "left").withColumn("i", F.pmod(hashed, F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("j", F.col("i"))
+    edges = _edges(within, n_parts, relation, link)
+    if large.isEmpty():
+        return edges
+    edges = written(edges, "block-edges")
+    big = written(members.join(large, "key", "left_semi"), "large-members")
+
+    def parts(found: DataFrame) -> DataFrame:
+        of = components(found, "a", "b").select(F.col("node").alias("doc"), "component")
+        return big.select("key", "doc").join(of, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("of"))
+
+    heads = written(parts(edges).groupBy("key", "of").agg(F.min("doc").alias("doc")).select("key", "doc"), "heads")
+    blocks = heads.groupBy("key").agg(_block(F.count(F.lit(1))).alias("blocks"))
+    met = _met(big.join(heads, ["key", "doc"]).join(blocks, "key"), F.pmod(hashed, F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1))
+    edges = edges.unionByName(written(_edges(met, n_parts, relation, link), "head-edges"))
+    named = written(parts(edges), "parts")
+    counted = named.groupBy("key", "of").agg(F.count(F.lit(1)).alias("m"))
+    # keys with different parts of which one has members that have not met the others
+    still = counted.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max("m").alias("most")).where("parts > 1 and most > 1").select("key")
+    # a part of over a block has blocks of its own, small ones share theirs
+    large_part = F.when(F.col("m") > BLOCK, F.col("of")).otherwise(F.lit(NULL_ID))
+    counted = counted.join(still, "key", "left_semi").withColumn("share", large_part)
+    shares = counted.groupBy("key", "share").agg(_block(F.sum("m")).alias("blocks"))
+    order = W.partitionBy("key").orderBy("share")  # the large parts of a key
+    shares = shares.withColumn("first", F.coalesce(F.sum("blocks").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("all", F.sum("blocks").over(W.partitionBy("key")).cast("int"))
+    rows = big.join(named, ["key", "doc"]).join(counted.select("key", "of", "share"), ["key", "of"]).join(shares, ["key", "share"])
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: (F.col("share") == NULL_ID) | (x < F.col("first")) | (x >= F.col("first") + F.col("blocks")))
+    rest = _met(rows, F.col("first") + F.pmod(hashed, F.col("blocks")).cast("int"), others)
+    return edges.unionByName(_edges(rest, n_parts, relation, link))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,6 +179,29 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert {r.component for r in found} == {0}
 
 
+def test_parts_of_a_large_group_meet(spark, monkeypatch):
+    """Chains, two groups that one document joins, and strays, in buckets of many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(17)
+    word = lambda: "q" + str(rng.randrange(10**8))
+    base = [word() for _ in range(120)]
+    texts = []
+    for i in range(40):  # each is near its neighbours only
+        texts.append(" ".join(base[2 * i : 2 * i + 60] if i % 2 else base[2 * i - 2 : 2 * i + 58] if i else base[:60]))
+    other = [word() for _ in range(90)]
+    texts += [" ".join([*other[: k % 80], word(), *other[k % 80 :]]) for k in range(30)]
+    far = [*other[:-12], *(word() for _ in range(12))]
+    texts += [" ".join([*far[: k % 80], word(), *far[k % 80 :]]) for k in range(30)]
+    texts += [" ".join([*other[:-6], *far[-6:]])] + [" ".join(word() for _ in range(50)) for _ in range(5)]
+    pairs = list(enumerate(texts))
+    rng.shuffle(pairs)
+    found = {r.doc: (r.doc, r.n, r.component) for r in near_dedup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    want = {d: w[:3] for d, w in components(sorted(pairs)).items()}
+    assert found == want and len({w[2] for w in want.values()}) > 6
+    stage = {r.doc_id for r in near_dedup.drop_near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert stage == {d for d, w in want.items() if d == w[2]}
+
+
 def test_quality(spark, sf):
     got = {r.doc_id: r for r in QUERIES["op5_quality"](spark, sf).collect()}
     for d, t in TEXTS:
