@@ -25,6 +25,7 @@ passes them by.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -239,6 +240,12 @@ class Scorer:
         return [math.log1p(abuse), math.log1p(quoted), math.log1p(fuzzy), math.log1p(near), math.log1p(short), math.log1p(len(terms)), most, math.sqrt(abuse / (len(tokens) + 20)), math.log1p(len(tokens))]
 
 
+@functools.lru_cache(maxsize=1)
+def scorer_of(weights: tuple[tuple[str, float], ...]) -> Scorer:
+    """One scorer for each worker process; its memo and automaton live on from task to task."""
+    return Scorer(dict(weights))
+
+
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, scales and coefficients (the last is the constant) by Newton's method."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -275,8 +282,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not weights:
         return None
 
+    terms = tuple(sorted(weights.items()))
+
     def measured(batches):
-        scorer = Scorer(weights)
+        scorer = scorer_of(terms)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
@@ -294,8 +303,10 @@ def scores(scorer: Scorer, model, texts: list[str | None]) -> np.ndarray:
 def _scored(fitted, at: int):
     """For each batch its scores."""
 
+    terms = tuple(sorted(fitted[0].items())) if fitted else ()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        scorer = Scorer(fitted[0]) if fitted else None
+        scorer = scorer_of(terms) if fitted else None
         for batch in batches:
             yield batch, (scores(scorer, fitted[1], batch.column(at).to_pylist()) if fitted else np.zeros(batch.num_rows))
         trim()
