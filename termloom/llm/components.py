@@ -17,9 +17,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for every node of an edge the least node that it reaches.
 
     Each round hangs the neighbours of every node below the least of them.  The
-    least neighbours are summed before the exchange and written, so that a join with
+    least neighbours are summed before the exchange and written, so that the join with
     them is one of two tables: small ones are broadcast by their size, and a node with
-    very many edges is dealt to several tasks as a skewed key.  The number of rounds
+    very many edges is dealt to several tasks as a skewed key.  After it such a node is
+    the lesser end of its edges, which the second step doesn't deal by.  The number of rounds
     follows the logarithm of the number of nodes; the tables of a round are deleted
     when the next one is there.
     """
@@ -29,13 +30,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = now.union(now.select("v", "u"))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = written(small.where("u <> v").distinct(), "edges")
         found = _state(after)
-        for table in (least, large, low):
-            discard(table)
+        discard(least)
         if found == state:
             discard(after)
             break

@@ -48,6 +48,8 @@ MISSED = 1e-6
 #: registers grow by this factor; the least exponential is read at this rate
 SPACING, RATE, TOP = 1.001, 20.0, 65535
 BLOCK = 512
+#: blocks that even few rows are cut into where blocks meet
+FEW = 16
 
 
 def bands_for(link: int) -> int:
@@ -223,7 +225,7 @@ def _link(n: np.ndarray, blobs: list[bytes], link: int) -> np.ndarray:
 
 
 def _grouped(relation, link: int):
-    """Edges of the forests of all groups of one part."""
+    """(key, least document, document) of the forests of all groups of one part."""
 
     def run(t: pa.Table) -> pa.Table:
         g1, g2, g3, docs, n = (t[c].to_numpy() for c in ("key", "i", "j", "doc", "n"))
@@ -235,23 +237,24 @@ def _grouped(relation, link: int):
             rows = order[s:e]
             rows = rows[np.concatenate([[True], docs[rows][1:] != docs[rows][:-1]])]
             if len(rows) > 1:
-                out += forest(docs[rows], relation(n[rows].astype(np.int64), [blobs[k] for k in rows], link))
+                key = int(g1[rows[0]])
+                out += [(key, a, b) for a, b in forest(docs[rows], relation(n[rows].astype(np.int64), [blobs[k] for k in rows], link))]
         trim()
-        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["key", "a", "b"])
 
     return run
 
 
 def _edges(dealt: DataFrame, n_parts: int, relation, link: int) -> DataFrame:
-    """Edges of the forests of the groups (key, i, j) that the rows (key, i, j, doc, n, blob) are dealt to."""
+    """(key, a, b): edges of the forests of the groups that the rows (key, i, j, doc, n, blob) are dealt to."""
     dealt = dealt.select("key", "i", "j", "doc", "n", "blob").withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_parts)))
     tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(tasks, "part").groupBy("part").applyInArrow(_grouped(relation, link), "a long, b long")
+    return dealt.repartition(tasks, "part").groupBy("part").applyInArrow(_grouped(relation, link), "key long, a long, b long")
 
 
-def _block(size: Column) -> Column:
-    """The number of blocks of so many rows."""
-    return F.ceil(size / BLOCK).cast("int")
+def _blocks(size: Column) -> Column:
+    """The number of blocks that meet pairwise: of up to BLOCK rows, and several even of few rows, so that many tasks share the pairs."""
+    return F.greatest(F.ceil(size / BLOCK), F.least(F.lit(FEW), F.ceil(size * FEW / BLOCK))).cast("int")
 
 
 def _met(rows: DataFrame, own: Column, partners: Column) -> DataFrame:
@@ -263,41 +266,38 @@ def _forest_of(members: DataFrame, sizes: DataFrame, n_parts: int, relation, lin
     """Edges that connect what ``relation`` connects inside each key; (key, doc, n, blob) and (key, size).
 
     A key of over BLOCK members is cut into blocks.  What one block connects is a part,
-    and first the parts meet by one member of each; only blocks that still hold
+    and first the parts meet by their least members; only blocks that still hold
     different parts meet whole, pair by pair, and never two of the same part.  So a group whose
     members are all near each other costs as much as its members, not as their pairs.
     """
     hashed = F.xxhash64("doc", F.lit(3))
-    large = written(sizes.where(F.col("size") > BLOCK).withColumn("blocks", _block(F.col("size"))).select("key", "blocks"), "large-keys")
+    large = written(sizes.where(F.col("size") > BLOCK).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "large-keys")
     within = members.join(large, "key", "left").withColumn("i", F.pmod(hashed, F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("j", F.col("i"))
     edges = _edges(within, n_parts, relation, link)
     if large.isEmpty():
         return edges
     edges = written(edges, "block-edges")
     big = written(members.join(large, "key", "left_semi"), "large-members")
-
-    def parts(found: DataFrame) -> DataFrame:
-        of = components(found, "a", "b").select(F.col("node").alias("doc"), "component")
-        return big.select("key", "doc").join(of, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("of"))
-
-    heads = written(parts(edges).groupBy("key", "of").agg(F.min("doc").alias("doc")).select("key", "doc"), "heads")
-    blocks = heads.groupBy("key").agg(_block(F.count(F.lit(1))).alias("blocks"))
+    least = lambda found, name: found.groupBy("key", F.col("b").alias(name)).agg(F.min("a").alias("of"))  # noqa: E731  of forests, so what it is connected with
+    own = big.select("key", "doc").join(least(edges, "doc"), ["key", "doc"], "left").select("key", "doc", F.coalesce("of", "doc").alias("head"))
+    heads = written(own.where("doc = head").select("key", "doc"), "heads")
+    blocks = heads.groupBy("key").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
     met = _met(big.join(heads, ["key", "doc"]).join(blocks, "key"), F.pmod(hashed, F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1))
-    edges = edges.unionByName(written(_edges(met, n_parts, relation, link), "head-edges"))
-    named = written(parts(edges), "parts")
+    more = written(_edges(met, n_parts, relation, link), "head-edges")
+    named = own.join(least(more, "head"), ["key", "head"], "left").select("key", "doc", F.coalesce("of", "head").alias("of"))
+    named = written(named, "parts")
     counted = named.groupBy("key", "of").agg(F.count(F.lit(1)).alias("m"))
     # keys with different parts of which one has members that have not met the others
     still = counted.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max("m").alias("most")).where("parts > 1 and most > 1").select("key")
     # a part of over a block has blocks of its own, small ones share theirs
-    large_part = F.when(F.col("m") > BLOCK, F.col("of")).otherwise(F.lit(NULL_ID))
-    counted = counted.join(still, "key", "left_semi").withColumn("share", large_part)
-    shares = counted.groupBy("key", "share").agg(_block(F.sum("m")).alias("blocks"))
+    counted = counted.join(still, "key", "left_semi").withColumn("share", F.when(F.col("m") > BLOCK, F.col("of")).otherwise(F.lit(NULL_ID)))
+    shares = counted.groupBy("key", "share").agg(_blocks(F.sum("m")).alias("blocks"))
     order = W.partitionBy("key").orderBy("share")  # the large parts of a key
     shares = shares.withColumn("first", F.coalesce(F.sum("blocks").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("all", F.sum("blocks").over(W.partitionBy("key")).cast("int"))
-    rows = big.join(named, ["key", "doc"]).join(counted.select("key", "of", "share"), ["key", "of"]).join(shares, ["key", "share"])
+    places = named.join(counted.select("key", "of", "share"), ["key", "of"]).join(shares, ["key", "share"])
     others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda x: (F.col("share") == NULL_ID) | (x < F.col("first")) | (x >= F.col("first") + F.col("blocks")))
-    rest = _met(rows, F.col("first") + F.pmod(hashed, F.col("blocks")).cast("int"), others)
-    return edges.unionByName(_edges(rest, n_parts, relation, link))
+    rest = _met(big.join(places, ["key", "doc"]), F.col("first") + F.pmod(hashed, F.col("blocks")).cast("int"), others)
+    return edges.unionByName(more).unionByName(_edges(rest, n_parts, relation, link))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
