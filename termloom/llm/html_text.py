@@ -38,6 +38,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: the end of an empty element; a slash in a value without quotation marks is part of it
+CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: an opening tag closes these if they are open in the same container
@@ -80,6 +83,8 @@ BROADCAST_HOSTS, BROADCAST_TEXTS, SALTS = 20_000, 1_000_000, 32
 DEEPEST = 512
 #: elements that hold others' slots
 CONTAINERS = {"body", "div", "section", "article", "main", "center", "td", "table", "tbody", "tr", "fieldset", "details"}
+#: so many links in texts of links alone in a row are a list of links
+LIST = 3
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: longest other texts that tell whether a text recurs beside the same article
 BESIDE = 2
@@ -139,8 +144,9 @@ class Page:
         self.ranks: list[int] = []
         self.counts: dict[int, int] = {}
         self.texts: list[tuple[str, tuple[int, ...]]] = []
-        #: of each text: characters in links, and whether it is a heading; of each element: whether it is NAMED, its tag and the key around it
+        #: of each text: characters in links, how many links, and whether it is a heading; of each element: whether it is NAMED, its tag and the key around it
         self.linked: list[int] = []
+        self.links: list[int] = []
         self.headed: list[bool] = []
         self.named: list[bool] = []
         self.tags: list[str] = []
@@ -150,20 +156,21 @@ class Page:
         opened: dict[str, int] = {}
         around: list[int] = []
         piece: list[str] = []
-        links = 0
+        links = anchors = 0
 
         def flush() -> None:
-            nonlocal links
+            nonlocal links, anchors
             if piece:
                 text = " ".join(html.unescape("".join(piece)).split())
                 piece.clear()
                 if text:
                     self.texts.append((text, tuple(around)))
                     self.linked.append(min(links, len(text)))
+                    self.links.append(anchors)
                     self.headed.append(any(opened.get(h) for h in HEADINGS))
                     for e in around:
                         self.mass[e] = self.mass.get(e, 0) + len(text)
-                links = 0
+                links = anchors = 0
 
         def close(n: int) -> None:
             for name, _, _, held, _ in stack[n:]:
@@ -204,11 +211,12 @@ class Page:
                         break
                     if stack[i][0] in SCOPES:
                         break
+            anchors += name == "a"
             a = _attributes(attributes)
             label = f"{a.get('class', '')} {a.get('id', '')}"
             key = zlib.crc32(f"{name} {label}".encode(), stack[-1][1])
             self.counts[key] = self.counts.get(key, 0) + 1
-            if name in VOID or attributes.endswith("/") and name not in BLOCKS:
+            if name in VOID or CLOSED.search(attributes) and name not in BLOCKS:
                 continue
             role = a.get("role", "")
             marked = any(self.ranks[e] == MARKED for e in around)
@@ -252,6 +260,10 @@ class Page:
             out[self.keys[e]] = (max(rank, self.ranks[e]), had + n)
         return out
 
+    def marked(self) -> bool:
+        """Whether text stands in an element that is marked as the article, outside NAMED ones."""
+        return any(any(self.ranks[e] == MARKED for e in around) and not any(self.named[e] for e in around) for _, around in self.texts)
+
     def slots(self) -> dict[int, list[int]]:
         """For each container, by key: rank, key of the container around it, prose in it, prose that is no heading and in no container inside; and under key 0 the prose of the page."""
         out: dict[int, list[int]] = {0: [PLAIN, 0, 0, 0]}
@@ -282,12 +294,17 @@ class Page:
 
     def in_slot(self, key: int, constant: set[int]) -> str | None:
         """The texts in the elements with this key, without NAMED elements inside, lists of links and recurring texts; None if there are none."""
-        held = []
-        for (text, around), linked in zip(self.texts, self.linked):
+        held: list[tuple[str, int]] = []
+        for (text, around), linked, links, headed in zip(self.texts, self.linked, self.links, self.headed):
             at = next((i for i, e in enumerate(around) if self.keys[e] == key), None)
             if at is not None and not any(self.named[e] for e in around[at + 1 :]):
-                held.append((text, linked))
-        left = [t for t, linked in held if text_hash(t) not in constant and 3 * linked <= 2 * len(t)] or [t for t, _ in held]
+                held.append((text, max(1, links) if not headed and 3 * linked > 2 * len(text) else 0))
+        left: list[str] = []
+        for only_links, run in groupby(held, key=lambda h: h[1] > 0):
+            texts = list(run)
+            if not only_links or sum(n for _, n in texts) < LIST:
+                left += [t for t, _ in texts if text_hash(t) not in constant]
+        left = left or [t for t, _ in held]
         return " ".join(left) if left else None
 
     def text(self, holders: list[int], constant: set[int]) -> str:
@@ -344,15 +361,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for host, source in zip(*(c.to_pylist() for c in batch.columns)):
-            page, bare = Page(source or ""), Page(source or "", bare=True)
-            own, slots = page.holders(), bare.slots()
+            bare = Page(source or "", bare=True)
+            marked = bare.marked()
+            # recurring texts are those of the page as it is judged; one that marks its article needs none
+            page = bare if marked else Page(source or "")
+            own, slots, places = page.holders(), bare.slots(), bare.text_places()
             content, beside, total = zlib.crc32((source or "").encode()), page.beside(), slots[0][2]
-            places = bare.text_places()
             tokens = [(ROOT, 0, hash(tuple(list(beside)[: BESIDE + 1])), 0, PLAIN, 0, 1, 0, 0)]
             for key, n in bare.counts.items():
                 rank, up, mass, direct = slots.get(key, (PLAIN, 0, 0, 0))
                 tokens.append((ELEMENT, key, 0, up, max(rank, own.get(key, (PLAIN, 0))[0]), int(key in slots), n, mass, direct))
-            if not any(r == MARKED for r, _ in own.values()):
+            if not marked and not any(r == MARKED for r, _ in own.values()):
                 for h, other in {**bare.beside(), **beside}.items():
                     up, prose = places.get(h, (0, 0))
                     tokens.append((CONSTANT, h, other, up, PLAIN, 0, 1, prose, 0))

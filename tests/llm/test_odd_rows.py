@@ -119,3 +119,28 @@ def test_articles_without_their_marks(spark):
     hosts = {r.host for r in html_text.templates(bare.select(html_text.host_and_path(F.col("url"))[0].alias("host"), "html")).where("size(slots) > 0").collect()}
     own = {r.page_id for r in bare.withColumn("host", html_text.host_and_path(F.col("url"))[0]).where(F.col("host").isin(hosts)).collect()}
     assert len(own) > 50 and all(unmarked[k] == marked[k] for k in own)
+
+
+def test_any_rules_against_brute_force(spark):
+    """Nested hosts and paths, upper case, equal rules with both verdicts, urls that repeat."""
+    import random
+
+    from termloom.llm import url_filter
+
+    rng = random.Random(23)
+    label = lambda: rng.choice(["a", "b", "cc", "Dd", "e-e"])
+    host = lambda most: ".".join(label() for _ in range(rng.randint(1, most)))
+    path = lambda most: "/" + "".join(rng.choice("xyz") + rng.choice(["", "/"]) for _ in range(rng.randint(0, most)))
+    rules = [(rng.choice(["allow", "block"]), host(3), path(3)) for _ in range(150)] + [("allow", "a.b", "/x"), ("block", "a.b", "/x")]
+    urls = [f"http://{host(5)}{path(6)}{rng.choice(['', '?q=/x', '#y'])}" for _ in range(600)] + ["a.b/x", None, "x://", "s://a.b/x"] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    for i, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        name = re.match(r"[^/?#]*", rest)[0].lower()
+        own = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(h) + len(p), v == "block", h + p, v) for v, h, p in rules if (name == h.lower() or name.endswith("." + h.lower())) and own.startswith(p)]
+        best = max(fits, default=None)
+        assert got[i][:2] == (name, own)
+        assert got[i][3] == (best[3] if best else "allow") and (got[i][2] or "").lower() == (best[2].lower() if best else ""), (url, got[i], best)
+    assert sum(g[2] is not None for g in got.values()) > 200

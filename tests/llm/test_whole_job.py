@@ -129,6 +129,15 @@ def test_template_finds_the_slot_without_names(spark):
     assert sum(a != plain(w) for a, w in zip(alone, want)) > 20
 
 
+def test_links_in_a_slot(spark):
+    """A title or a paragraph that is a link stays, a list of links goes."""
+    rng = random.Random(16)
+    links = lambda n: "".join(f"<p><a href=/>word {rng.randrange(10**6)} and more</a></p>" for _ in range(n))
+    made = [(links(5), f"<h2><a href=/>title {k}</a></h2><p>{story(rng, k)}</p><p><a href=/>see {k}</a></p><p>{story(rng, k)}</p>") for k in range(6)]
+    got = extracted_texts(spark, [("l.org", f"<body><div class=c1><p>x {k}</p></div><div class=c2>{body}{more}</div></body>") for k, (more, body) in enumerate(made)])
+    assert [got[k] for k in range(6)] == [" ".join(re.sub(r"<[^>]*>", " ", body).split()) for _, body in made]
+
+
 def test_classes_against_brute_force(spark):
     """The template's containers are those whose occurrences on all pages equal another element's, up to the root."""
     rng = random.Random(14)
