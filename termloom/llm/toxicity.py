@@ -45,7 +45,7 @@ FOLDS = 5
 #: tokens before and after a hit that tell quotation from abuse
 CONTEXT = 6
 #: matched tokens and automaton states that are kept from one text to the next
-MEMO, STATES = 600_000, 200_000
+MEMO, STATES = 100_000, 50_000
 EDGE = ".,;:!?|#*$%&<>()[]{}\"'`~^_=+/\\-“”„«»‘’…"
 QUOTES = ("\"", "“", "”", "„", "«", "»")
 #: words of reporting in the languages at hand
