@@ -25,7 +25,6 @@ passes them by.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -45,9 +44,9 @@ FOLDS = 5
 #: tokens before and after a hit that tell quotation from abuse
 CONTEXT = 6
 #: matched tokens and automaton states that are kept from one text to the next
-MEMO, STATES = 100_000, 50_000
+MEMO, STATES = 600_000, 200_000
 EDGE = ".,;:!?|#*$%&<>()[]{}\"'`~^_=+/\\-“”„«»‘’…"
-QUOTES = ("\"", "“", "”", "„", "«", "»")
+QUOTES = frozenset("\"“”„«»")
 #: words of reporting in the languages at hand
 REPORTING = {"said", "says", "quote", "quoted", "wrote", "word", "term", "called", "sagte", "schrieb", "wort", "zitat", "dit", "écrit", "mot", "citation", "dijo", "escribió", "palabra", "cita"}
 
@@ -149,12 +148,13 @@ class Lexicon:
         """The nearest term and the edits to it."""
         if len(self.sets) >= STATES:
             self.forget()
-        state = self.start
+        state, steps, over = self.start, self.steps, self.over
         for c in word:
-            state = self.steps[state].get(c) if c in self.steps[state] else self._step(state, c)
+            after = steps[state].get(c)
+            state = self._step(state, c) if after is None else after
             if state < 0:
                 return None
-            if self.over[state]:
+            if over[state]:
                 break
         return self.found[state]
 
@@ -196,6 +196,8 @@ SHORT = 4
 
 #: what a token tells about quotation
 NOTHING, QUOTE, REPORT = 0, 1, 2
+#: of tokens that are no hit and tell nothing
+UNTOLD = (None, NOTHING)
 
 
 class Scorer:
@@ -206,8 +208,9 @@ class Scorer:
 
     def read(self, token: str) -> None:
         word = normal(token)
-        told = REPORT if word in REPORTING else QUOTE if any(q in token for q in QUOTES) else NOTHING
-        self.memo[token] = self.lexicon.match(word) if word else None, told
+        told = REPORT if word in REPORTING else NOTHING if QUOTES.isdisjoint(token) else QUOTE
+        found = self.lexicon.match(word) if word else None
+        self.memo[token] = (found, told) if found or told else UNTOLD
 
     def features(self, text: str) -> list[float]:
         tokens = text.split()
@@ -240,12 +243,6 @@ class Scorer:
         return [math.log1p(abuse), math.log1p(quoted), math.log1p(fuzzy), math.log1p(near), math.log1p(short), math.log1p(len(terms)), most, math.sqrt(abuse / (len(tokens) + 20)), math.log1p(len(tokens))]
 
 
-@functools.lru_cache(maxsize=1)
-def scorer_of(weights: tuple[tuple[str, float], ...]) -> Scorer:
-    """One scorer for each worker process; its memo and automaton live on from task to task."""
-    return Scorer(dict(weights))
-
-
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, scales and coefficients (the last is the constant) by Newton's method."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -282,10 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not weights:
         return None
 
-    terms = tuple(sorted(weights.items()))
-
     def measured(batches):
-        scorer = scorer_of(terms)
+        scorer = Scorer(weights)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
@@ -303,10 +298,8 @@ def scores(scorer: Scorer, model, texts: list[str | None]) -> np.ndarray:
 def _scored(fitted, at: int):
     """For each batch its scores."""
 
-    terms = tuple(sorted(fitted[0].items())) if fitted else ()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        scorer = scorer_of(terms) if fitted else None
+        scorer = Scorer(fitted[0]) if fitted else None  # its memo goes with the task, as later stages need the memory
         for batch in batches:
             yield batch, (scores(scorer, fitted[1], batch.column(at).to_pylist()) if fitted else np.zeros(batch.num_rows))
         trim()
