@@ -1,7 +1,10 @@
-"""String functions of the glossary: cleaning, splitting, labels.  All are column expressions."""
+"""String functions of the glossary: cleaning, splitting, labels.  All are column expressions; only packing goes through Arrow batches."""
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,10 +116,6 @@ def blank_runs(c: Column) -> Column:
 
 def packed(c: Column) -> Column:
     """Text as zlib-compressed UTF-8."""
-    import zlib
-
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(v: pd.Series) -> pd.Series:
         return v.map(lambda s: zlib.compress(s.encode()), na_action="ignore")
@@ -126,10 +125,6 @@ def packed(c: Column) -> Column:
 
 def unpacked(c: Column) -> Column:
     """The text that ``packed`` made smaller."""
-    import zlib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(v: pd.Series) -> pd.Series:
         return v.map(lambda b: zlib.decompress(b).decode(), na_action="ignore")

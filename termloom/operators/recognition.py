@@ -339,3 +339,30 @@ def sized(chars: DataFrame, stack: str, width: str) -> DataFrame:
 
     counted = chars.groupBy(stack, width).count()
     return counted.groupBy(stack).applyInPandas(run, chars.select(stack, width, F.lit("").alias("size")).schema)
+
+
+def small_mark(w: Column, h: Column, y: Column, least: int = 3, most: int = 6, area: tuple[int, int] = (9, 25), rows: tuple[int, int] = (5, 35)) -> Column:
+    """Whether a box has the size of a mark between syllables and stands in the rows of the text."""
+    return w.between(least, most) & h.between(least, most) & (w * h).between(*area) & y.between(*rows)
+
+
+def outer_pieces(boxes: DataFrame, keys: list[str], page_width: Column, several: Column, few: int = 40) -> DataFrame:
+    """The boxes (id, parent, x, y, w, h) that may be characters.
+
+    Those inside the parent that most boxes of their page have (the least of equally
+    frequent ones), unless they are a tenth of the page wide on a page of ``few`` boxes or more.  On pages of
+    several lines others too, if a quarter of the median area and three tenths of the
+    lesser median side are reached and they are no flat fragments.
+    """
+    count = boxes.groupBy(*keys, "parent").agg(F.count(F.lit(1)).alias("__c"))
+    pages = count.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.min(F.struct((-F.col("__c")).alias("c"), F.col("parent").alias("p")))["p"].alias("__parent"))
+    medians = boxes.groupBy(*keys).agg(F.median("w").alias("__w"), F.median("h").alias("__h"), F.median(F.col("w") * F.col("h")).alias("__a"))
+    own = boxes.join(pages.join(medians, keys), keys)
+    known = F.col("__n") > 6
+    area = F.when(known, F.greatest(F.lit(10), F.floor(F.col("__a") * 0.25))).otherwise(15)
+    side = F.when(known, F.greatest(F.lit(3), F.floor(F.least("__w", "__h") * 0.3))).otherwise(4)
+    flat = F.when(known, F.greatest(F.lit(8), F.floor(F.col("__h") * 0.4))).otherwise(10)
+    w, h = F.col("w"), F.col("h")
+    fits = (w < 0.1 * page_width) | (F.col("__n") < few)
+    large = (w * h >= area) & (w >= side) & (h >= side) & ~((h < flat) & (w > 1.4 * h))
+    return own.where(fits & (F.col("parent").eqNullSafe(F.col("__parent")) | (several & large))).select(*boxes.columns)

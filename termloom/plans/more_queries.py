@@ -448,3 +448,15 @@ def q_box_tree(t):
 @query("SELECT doc_id, text FROM documents")
 def q_packed_text(t):
     return t("documents").select("doc_id", X.unpacked(X.packed(c("text"))).alias("text"))
+
+
+@query("""WITH b AS (SELECT l_suppkey % 40 AS page, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 3 AS INTEGER) AS parent, CAST(l_quantity AS INTEGER) AS w, CAST(2 + l_partkey % 23 AS INTEGER) AS h, CAST(l_orderkey % 50 AS INTEGER) AS y FROM lineitem),
+n AS (SELECT page, parent, count(*) AS c FROM b GROUP BY 1, 2), p AS (SELECT page, sum(c) AS n, arg_min(parent, -c * 100 + parent) AS top FROM n GROUP BY 1), m AS (SELECT page, median(w) AS mw, median(h) AS mh, median(w * h) AS ma FROM b GROUP BY 1)
+SELECT b.page, id, w, h, w BETWEEN 3 AND 6 AND h BETWEEN 3 AND 6 AND w * h BETWEEN 9 AND 25 AND y BETWEEN 5 AND 35 AS mark FROM b JOIN p ON b.page = p.page JOIN m ON b.page = m.page WHERE (w < 0.1 * 300 OR n < 40)
+  AND (parent = top OR (b.page % 2 = 0 AND w * h >= CASE WHEN n > 6 THEN greatest(10, floor(ma * 0.25)) ELSE 15 END AND w >= CASE WHEN n > 6 THEN greatest(3, floor(least(mw, mh) * 0.3)) ELSE 4 END AND h >= CASE WHEN n > 6 THEN greatest(3, floor(least(mw, mh) * 0.3)) ELSE 4 END
+  AND NOT (h < CASE WHEN n > 6 THEN greatest(8, floor(mh * 0.4)) ELSE 10 END AND w > 1.4 * h)))""")
+def q_outer_pieces(t):
+    i = lambda e: F.expr(f"CAST({e} AS INTEGER)")
+    boxes = t("lineitem").select((c("l_suppkey") % 40).alias("page"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), i("l_partkey % 3").alias("parent"), i("l_quantity").alias("w"), i("2 + l_partkey % 23").alias("h"), i("l_orderkey % 50").alias("y"))
+    kept = R.outer_pieces(boxes, ["page"], F.lit(300), c("page") % 2 == 0)
+    return kept.select("page", "id", "w", "h", R.small_mark(c("w"), c("h"), c("y")).alias("mark"))
