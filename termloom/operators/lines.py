@@ -106,13 +106,14 @@ def placed_rows(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
     A row takes what stands up to ROW_GAP below its first block, a column begins over
     COLUMN_GAP right of the one before it, and a block is in the first column whose
-    start is less than COLUMN_SLACK left of it.  Every page has as many numbers as places.
+    start is less than COLUMN_SLACK left of it.  Every page has as many numbers as places,
+    so the pages are never broadcast, however small their input is.
     """
     pages = blocks.groupBy(*keys).agg(F.sort_array(F.collect_set(F.col("x").cast("double"))).alias("__x"), F.sort_array(F.collect_set(F.col("y").cast("double"))).alias("__y"))
     pages = pages.select(*keys, leaders(F.col("__x"), COLUMN_GAP).alias("__columns"), leaders(F.col("__y"), ROW_GAP).alias("__rows"))
     column = F.array_position(F.transform("__columns", lambda b: F.col("x") < b + COLUMN_SLACK), True).cast("int")
     row = F.size(F.filter("__rows", lambda r: r <= F.col("y"))) - 1
-    own = blocks.join(pages, keys).withColumn("row", row).withColumn("column", F.when(column > 0, column - 1).otherwise(F.size("__columns")))
+    own = blocks.join(pages.hint("merge"), keys).withColumn("row", row).withColumn("column", F.when(column > 0, column - 1).otherwise(F.size("__columns")))
     return own.drop("__columns", "__rows")
 
 

@@ -3,7 +3,7 @@
 import collections
 import random
 
-from termloom.operators import layout
+from termloom.operators import layout, lines
 
 
 def test_white_columns_of_whole_lines(spark):
@@ -12,3 +12,11 @@ def test_white_columns_of_whole_lines(spark):
     want = collections.Counter(i for t in texts for line in t.split("\n") for i, ch in enumerate(line) if ch.isspace())
     got = layout.white_columns(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
     assert {r.position: r.n for r in got} == want and max(want) > 40
+
+
+def test_pages_are_not_broadcast(spark):
+    """Numbers of a page's rows and columns are as many as its places, though the input that they come from seems small."""
+    places = spark.range(60).selectExpr("id % 3 AS page", "'w' AS text", "id DIV 3 * 31.0D AS x", "id DIV 3 * 4.0D AS y")
+    placed = lines.placed_rows(places, ["page"])
+    assert "BroadcastExchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page, r.row, r.column) for r in placed.collect()) == [(page, k, k) for page in range(3) for k in range(20)]
