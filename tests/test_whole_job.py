@@ -4,6 +4,7 @@ import collections
 import random
 
 from termloom.operators import layout, lines, recognition
+from termloom.plans import more_queries
 
 
 def test_white_columns_of_whole_lines(spark):
@@ -34,3 +35,12 @@ def test_boxes_around_equal_ones(spark):
     assert "SortAggregate" not in tree._jdf.queryExecution().executedPlan().toString()
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(map(tuple, tree.collect()), key=key) == sorted(want, key=key)
+
+
+def test_reading_order_at_one_point(spark):
+    """Events whose numbers differ by 211 * 997 are at one point; they come by their numbers, whatever the order of rows."""
+    events = [(k + i * 211 * 997, 50 * k) for k in range(30) for i in range(5)]
+    for rows in (events, events[::-1], random.Random(5).sample(events, len(events))):
+        got = more_queries.q_reading_order(lambda _: spark.createDataFrame(rows, "event_id long, user_id long")).collect()  # noqa: B023
+        at = lambda r: (r.id * 37 % 211 // 50, r.id * 53 % 997, r.id * 37 % 211, r.id)
+        assert [r.place for r in sorted(got, key=at)] == list(range(1, 151))
