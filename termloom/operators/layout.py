@@ -65,8 +65,11 @@ def cut_at(line: Column, starts: Column, ends: Column) -> Column:
 
 
 def spaced_line(df: DataFrame, keys: list[str], left: str = "left", width: str = "width", text: str = "text") -> DataFrame:
-    """(keys, text): the words of a line with as many blanks between them as their gaps are wide: four over 100 pixels, two over 50, one over 10."""
-    w = W.partitionBy(*keys).orderBy(left, text)
+    """(keys, text): the words of a line with as many blanks between them as their gaps are wide: four over 100 pixels, two over 50, one over 10.
+
+    Equal words at one place come by their widths, as the last of them makes the next gap.
+    """
+    w = W.partitionBy(*keys).orderBy(left, text, width)
     gap = F.col(left) - F.lag(F.col(left) + F.col(width)).over(w)
-    own = df.withColumn("__t", F.concat(F.when(gap > 100, "    ").when(gap > 50, "  ").when(gap > 10, " ").otherwise(""), F.col(text)))
-    return own.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(left, text, "__t"))), lambda s: s["__t"]), "").alias("text"))
+    own = df.withColumn("__t", F.concat(F.when(gap > 100, "    ").when(gap > 50, "  ").when(gap > 10, " ").otherwise(""), F.col(text))).withColumn("__r", F.row_number().over(w))
+    return own.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__t"))), lambda s: s["__t"]), "").alias("text"))

@@ -1,6 +1,7 @@
 """What the catalogue's operators once left out, against brute force."""
 
 import collections
+import itertools
 import random
 
 from termloom.operators import layout, lines, recognition
@@ -44,3 +45,11 @@ def test_reading_order_at_one_point(spark):
         got = more_queries.q_reading_order(lambda _: spark.createDataFrame(rows, "event_id long, user_id long")).collect()  # noqa: B023
         at = lambda r: (r.id * 37 % 211 // 50, r.id * 53 % 997, r.id * 37 % 211, r.id)
         assert [r.place for r in sorted(got, key=at)] == list(range(1, 151))
+
+
+def test_spaces_after_equal_words(spark):
+    """Of equal words at one place the widest is last, whatever the order of rows, and the next gap begins where it ends."""
+    words = [(1, 0, 10, "a"), (1, 130, 20, "b"), (1, 130, 60, "b"), (1, 130, -15, "b"), (1, 205, 5, "c")]
+    for rows in list(itertools.permutations(words))[::17]:
+        got = layout.spaced_line(spark.createDataFrame(rows, "line long, left int, width int, text string"), ["line"])
+        assert [tuple(r) for r in got.collect()] == [(1, "a    b bb c")]
